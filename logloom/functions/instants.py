@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime
 from functools import lru_cache
-from zoneinfo import ZoneInfo, available_timezones
+from zoneinfo import ZoneInfo
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -92,7 +92,10 @@ def _calendar(g: dict[str, str | None]) -> tuple[int, int | None] | None:
 
 @lru_cache(1024)
 def _zone(tz: str) -> ZoneInfo | None:
-    return ZoneInfo(tz) if tz in available_timezones() else None
+    try:
+        return ZoneInfo(tz)
+    except (OSError, ValueError, KeyError):  # no such zone
+        return None
 
 
 def wall_to_utc(local_us: int, tz: str | None) -> int | None:

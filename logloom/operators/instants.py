@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import zoneinfo
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions.instants import header_stamp, read_instant, walls_to_utc
 
-#: Zones are a fixed public list of about 600 names, so a table of them can be sent to the driver.
-_ZONES = zoneinfo.available_timezones()
-
 
 def _catalog(zones: DataFrame) -> DataFrame:
-    """One valid zone per ip; a name that is no IANA zone, and an ip with two zones, are no knowledge."""
+    """One zone per ip; an ip with two zones is of no known zone, and so, later, is one whose zone doesn't exist."""
     return (
-        zones.select("ip", "tz").where(F.col("ip").isNotNull() & F.col("tz").isin(sorted(_ZONES)))
+        zones.select("ip", "tz").where("ip is not null and tz is not null")
         .groupBy("ip").agg(F.min("tz").alias("tz"), F.max("tz").alias("tz_max"))
         .where(F.col("tz") == F.col("tz_max")).select(F.col("ip").alias("_ip"), F.col("tz").alias("_tz"))
     )
