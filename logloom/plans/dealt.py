@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.instants import level_name
 from logloom.operators.instants import estimated_zones, instants, stamped
+from logloom.operators.loglines import entries
 from logloom.operators.skew import by_field, key_figures
 from logloom.session import table
 
@@ -48,7 +49,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.join(F.broadcast(total)).where("n_rows >= 0.03 * _total").select("field", "key_value")
 
 
-QUERIES = {"p6_found": p6_found, "p6_instants": p6_instants, "p6_zones": p6_zones, "p7_found": p7_found, "p7_figures": p7_figures}
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log fields of both tables for the entry parser."""
+    log = table(spark, sf_dir, "event_type_ansible").select(F.lit("event_type_ansible").alias("log_source"), "log_id", F.col("log_txt").alias("text"), F.lit(True).alias("lines"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("ms_id"))
+    return log.unionByName(table(spark, sf_dir, "iaas_filtered").select(F.lit("iaas_filtered").alias("log_source"), "log_id", F.col("message").alias("text"), F.lit(False).alias("lines"), "level", "ms_id"))
+
+
+def p3_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with its stamp and message as well."""
+    return entries(_fields(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level, component and request id of every entry."""
+    return p3_entries(spark, sf_dir).select("log_source", "log_id", "entry_no", "level", "component", "ms_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_entries": p3_entries, "p6_found": p6_found, "p6_instants": p6_instants, "p6_zones": p6_zones, "p7_found": p7_found, "p7_figures": p7_figures}
 
 # The other queries read time zones, which DuckDB has no tables for here; tests hold them against brute force.
 ORACLE = {
