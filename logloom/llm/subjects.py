@@ -235,7 +235,8 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
     known = labels.select("doc_id", names[F.lower(F.trim("subject"))].alias("s")).where("s is not null")
     sampled = known.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     slim = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    labelled = slim.where("text is not null").join(sampled, "doc_id").persist()
+    # at most MAX_LABELLED rows of an id and few numbers: the texts stay where they are
+    labelled = slim.where("text is not null").join(F.broadcast(sampled), "doc_id").persist()
     lexicon = _lexicon(labelled, subjects, None)
     lexicon = _lexicon(labelled, subjects, lexicon)
     sources = sorted(r["source"] for r in labelled.groupBy("source").count().orderBy(F.desc("count")).limit(100).collect() if r["source"])
