@@ -35,7 +35,7 @@ REMOVED_STREAM = [
 
 def found(line: Column, pattern: str) -> Column:
     """The leftmost match of a pattern, null if there is none."""
-    return F.nullif(F.regexp_extract(line, pattern, 0), F.lit(""))
+    return F.nullif(F.regexp_extract(line, f"(?d){pattern}", 0), F.lit(""))
 
 
 def line_stamp(line: Column) -> Column:
@@ -56,7 +56,7 @@ def line_ms_id(line: Column) -> Column:
 def line_message(line: Column, removed: list[str] | None = None) -> Column:
     """The line without what ``removed`` lists and without stamps."""
     for pattern in [*(REMOVED_BATCH if removed is None else removed), *STAMPS]:
-        line = F.regexp_replace(line, pattern, "")
+        line = F.regexp_replace(line, f"(?d){pattern}", "")  # only \n ends a line
     return line
 
 

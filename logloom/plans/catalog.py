@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logloom.plans import dealt
+from logloom.plans import dealt, reference
 
-QUERIES = dealt.QUERIES
-ORACLE = dealt.ORACLE
+QUERIES = reference.QUERIES | dealt.QUERIES
+ORACLE = reference.ORACLE | dealt.ORACLE
