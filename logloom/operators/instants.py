@@ -14,23 +14,23 @@ def _catalog(zones: DataFrame) -> DataFrame:
     return (
         zones.select("ip", "tz").where("ip is not null and tz is not null")
         .groupBy("ip").agg(F.min("tz").alias("tz"), F.max("tz").alias("tz_max"))
-        .where(F.col("tz") == F.col("tz_max")).select(F.col("ip").alias("_ip"), F.col("tz").alias("_tz"))
+        .where(F.col("tz") == F.col("tz_max")).select(F.col("ip").alias("__node"), F.col("tz").alias("__tz"))
     )
 
 
 def stamped(log: DataFrame, zones: DataFrame) -> DataFrame:
-    """``log`` plus ``_tz`` and ``_x``: ``struct<utc, basis, local>``.
+    """``log`` plus ``__tz`` and ``__x``: ``struct<utc, basis, local>``.
 
     The header's stamp is read only where ``time`` denotes no instant. ``basis`` is 'absolute' (the
     stamp names its zone) or 'catalog' (the node's zone is known); null where there is no instant yet,
     and only there ``local`` holds the wall clock of the stamp, if any.
     """
-    zoned = log.join(_catalog(zones), log["ip"] == F.col("_ip"), "left").drop("_ip")
-    return zoned.withColumn("_x", read_instant(F.col("time"), header_stamp(F.col("log_txt")), F.col("_tz")))
+    zoned = log.join(_catalog(zones), log["ip"] == F.col("__node"), "left").drop("__node")
+    return zoned.withColumn("__x", read_instant(F.col("time"), header_stamp(F.col("log_txt")), F.col("__tz")))
 
 
 def estimated_zones(rows: DataFrame, zones: DataFrame, bucket_rows: int = 32, tolerance_s: int = 1800) -> DataFrame:
-    """Zones of the nodes the catalog lacks: ``(_ip, _tz, n, violations)``.
+    """Zones of the nodes the catalog lacks: ``(__node, __tz, n, violations)``.
 
     The arrival clock of each stretch of ``bucket_rows`` log ids is the median of its known instants.
     A candidate zone is an offset history; a stamp violates it if, read by it, it denotes no instant or
@@ -39,14 +39,14 @@ def estimated_zones(rows: DataFrame, zones: DataFrame, bucket_rows: int = 32, to
     Only per-stretch medians and per-node counts are shuffled.
     """
     bucket = F.floor(F.col("log_id") / bucket_rows)
-    clock = rows.select(bucket.alias("_k"), F.col("_x")["utc"].alias("u")).groupBy("_k").agg(F.percentile_approx("u", 0.5).alias("_clock"))
-    unknown = rows.where("_tz is null and ip is not null").select("ip", bucket.alias("_k"), F.col("_x")["local"].alias("_l")).where("_l is not null")
-    names = _catalog(zones).select(F.collect_set("_tz").alias("_zs"))  # at most as many as there are IANA zones
+    clock = rows.select(bucket.alias("_k"), F.col("__x")["utc"].alias("u")).groupBy("_k").agg(F.percentile_approx("u", 0.5).alias("_clock"))
+    unknown = rows.where("__tz is null and ip is not null").select("ip", bucket.alias("_k"), F.col("__x")["local"].alias("_l")).where("_l is not null")
+    names = _catalog(zones).select(F.collect_set("__tz").alias("_zs"))  # at most as many as there are IANA zones
     read = unknown.join(clock, "_k").join(F.broadcast(names)).select("ip", "_l", "_clock", F.explode("_zs").alias("_z"))
     off = F.abs(F.col("_u") - F.col("_clock")) <= tolerance_s * 1_000_000
     votes = read.withColumn("_u", walls_to_utc(F.col("_l"), F.col("_z"))).groupBy("ip", "_z").agg(F.count("*").alias("n"), F.sum(F.when(off, 0).otherwise(1)).alias("violations"))
     best = votes.withColumn("_r", F.row_number().over(W.partitionBy("ip").orderBy("violations", "_z")))
-    return best.where("_r = 1 and violations * 2 < n").select(F.col("ip").alias("_ip"), F.col("_z").alias("_tz"), "n", "violations")
+    return best.where("_r = 1 and violations * 2 < n").select(F.col("ip").alias("__node"), F.col("_z").alias("__tz"), "n", "violations")
 
 
 def instants(log: DataFrame, zones: DataFrame, estimate: bool = True) -> DataFrame:
@@ -61,11 +61,11 @@ def instants(log: DataFrame, zones: DataFrame, estimate: bool = True) -> DataFra
     keep = [c for c in log.columns if c not in ("utc_us", "basis")]
     rows = stamped(log.select(*keep), zones)
     if not estimate:
-        return rows.select(*keep, F.col("_x")["utc"].alias("utc_us"), F.col("_x")["basis"].alias("basis"))
-    guess = estimated_zones(rows, zones).select("_ip", F.col("_tz").alias("_gz"))
+        return rows.select(*keep, F.col("__x")["utc"].alias("utc_us"), F.col("__x")["basis"].alias("basis"))
+    guess = estimated_zones(rows, zones).select("__node", F.col("__tz").alias("__gz"))
     # one row per node of the log without zone: Spark broadcasts it if it is small, else joins by hash
-    both = rows.join(guess, rows["ip"] == F.col("_ip"), "left").withColumn("_g", walls_to_utc(F.col("_x")["local"], F.col("_gz")))
+    both = rows.join(guess, rows["ip"] == F.col("__node"), "left").withColumn("__guess", walls_to_utc(F.col("__x")["local"], F.col("__gz")))
     return both.select(
-        *[rows[c] for c in keep], F.coalesce(F.col("_x")["utc"], "_g").alias("utc_us"),
-        F.coalesce(F.col("_x")["basis"], F.when(F.col("_g").isNotNull(), F.lit("estimated"))).alias("basis"),
+        *[rows[c] for c in keep], F.coalesce(F.col("__x")["utc"], "__guess").alias("utc_us"),
+        F.coalesce(F.col("__x")["basis"], F.when(F.col("__guess").isNotNull(), F.lit("estimated"))).alias("basis"),
     )

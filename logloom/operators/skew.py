@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.session import staged
+
 #: Rows of one key that one chunk holds at most.
 CHUNK_ROWS = 100_000
 
@@ -18,16 +20,17 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     groups as there are input partitions that hold it, never by one task. Null keys are keys.
     """
     # names of our own, so that columns of any name pass through
-    part = [f"_k{i}" for i in range(len(keys))]
-    base = rows.withColumns({"_p": F.spark_partition_id(), "_o": F.monotonically_increasing_id()} | dict(zip(part, map(F.col, keys), strict=True)))
-    counts = base.groupBy(*part, "_p").agg(F.count("*").alias("_c"))
-    before = W.partitionBy(*part).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"{c}r") for c in part], F.col("_p").alias("_pr"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    local = base.withColumn("_i", F.row_number().over(W.partitionBy(*part, "_p").orderBy("_o")) - 1)
-    same = F.col("_p") == F.col("_pr")
+    part = [f"__k{i}" for i in range(len(keys))]
+    # stored, so that both uses see the same input partitions whatever the plan above
+    base = staged(rows.withColumns({"__p": F.spark_partition_id(), "__o": F.monotonically_increasing_id()} | dict(zip(part, map(F.col, keys), strict=True))), "numbered")
+    counts = base.groupBy(*part, "__p").agg(F.count("*").alias("__c"))
+    before = W.partitionBy(*part).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"{c}r") for c in part], F.col("__p").alias("__pr"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    local = base.withColumn("__i", F.row_number().over(W.partitionBy(*part, "__p").orderBy("__o")) - 1)
+    same = F.col("__p") == F.col("__pr")
     for c in part:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}r"))
-    return local.join(offsets, same).withColumn("_n", F.col("_before") + F.col("_i")).drop(*part, *[f"{c}r" for c in part], "_p", "_pr", "_o", "_i", "_before")
+    return local.join(offsets, same).withColumn("_n", F.col("__before") + F.col("__i")).drop(*part, *[f"{c}r" for c in part], "__p", "__pr", "__o", "__i", "__before")
 
 
 def key_figures(rows: DataFrame, keys: list[str], instant: str, label: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

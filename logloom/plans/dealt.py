@@ -31,7 +31,7 @@ def p6_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones estimated for the nodes that node_zones lacks."""
     log, zones = table(spark, sf_dir, "event_type_ansible").select(*STAMP_COLUMNS), table(spark, sf_dir, "node_zones")
-    return estimated_zones(stamped(log, zones), zones).select(F.col("_ip").alias("ip"), F.col("_tz").alias("tz"), "n", "violations")
+    return estimated_zones(stamped(log, zones), zones).select(F.col("__node").alias("ip"), F.col("__tz").alias("tz"), "n", "violations")
 
 
 def p7_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
