@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 
 from logloom.llm.mix import source_name
 
-#: Labelled documents that the chains are fitted on at most (a sample by hash of the id).
-MAX_LABELLED = 20_000
+#: Documents that lexicon and chain are fitted on at most: labelled ones first, then others, by hash of the id.
+MAX_TRAINING = 20_000
 #: Terms of the lexicon at most, the most telling first; the lexicon is broadcast.
 MAX_TERMS = 60_000
 #: Words that make a block of text a paragraph.
 MIN_WORDS = 6
 #: Share of the paragraphs that makes a subject one of the document.
 MIN_SHARE = 0.25
-#: A term tells something if this share of its documents have one and the same subject.
-CONCENTRATION = 0.4
+#: Least documents of a term with one and the same subject, and their least share of all its documents (two more being
+#: taken to be of other subjects): while documents count for all their labels, and once paragraphs count for one.
+TELLING = [(2, 0.4), (2, 0.4), (3, 0.5)]
+#: By how much a paragraph's best subject must lead to count where its document has no labels.
+LEAD = 1.0
+#: Counted terms after which a task hands on its counts.
+FLUSH = 300_000
 BEAM = 8
 
 _BODY = re.compile(r"\\begin\s*\{document\}")
@@ -91,9 +96,22 @@ class Lexicon:
     """Terms with their evidence for each subject (log of how much more often they occur with it)."""
 
     subjects: list[str]
-    rows: dict[str, int] = field(default_factory=dict)
+    words: dict[str, int] = field(default_factory=dict)
+    pairs: dict[str, dict[str, int]] = field(default_factory=dict)
     evidence: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
+    @classmethod
+    def of(cls, subjects: list[str], terms: list[str], evidence: np.ndarray) -> Lexicon:
+        """A lexicon of terms in the order of the evidence's rows."""
+        out = cls(subjects, evidence=evidence)
+        for i, t in enumerate(terms):
+            first, _, second = t.partition(" ")
+            if second:
+                out.pairs.setdefault(first, {})[second] = i
+            else:
+                out.words[t] = i
+        return out
+
     def shares(self, paras: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Share of the paragraphs whose best subject it is, and mean posterior, by subject."""
         k = len(self.subjects)
@@ -109,40 +127,64 @@ class Lexicon:
         return votes / n, mean / n
 
     def scores(self, words: list[str]) -> np.ndarray | None:
-        """Summed evidence of a paragraph's terms, None if it has none."""
-        rows = self.rows
-        at = [rows[t] for t in terms_of(words) if t in rows]
-        return self.evidence[at].sum(axis=0) if at else None
+        """Summed evidence of a paragraph's terms, each once, None if it has none."""
+        known, pairs = self.words, self.pairs
+        at = {known[w] for w in words if w in known}
+        if pairs:
+            at |= {i for a, b in zip(words, words[1:], strict=False) if a in pairs and (i := pairs[a].get(b)) is not None}
+        return self.evidence[sorted(at)].sum(axis=0) if at else None
 
 
-def _lexicon(labelled: DataFrame, subjects: list[str], known: Lexicon | None) -> Lexicon:
-    """Lexicon from labelled documents; with a lexicon known, each paragraph counts for its best label only."""
+def _lexicon(training: DataFrame, subjects: list[str], known: Lexicon | None, level: int) -> Lexicon:
+    """Lexicon from training documents.
+
+    Without a lexicon known, a document counts for all its labels. With one, each paragraph counts for its
+    best subject, if that is one of the document's labels or the document has none and the lead is clear.
+    """
+    least, share = TELLING[level]
+
+    def into(labels: list[int] | None, words: list[str]) -> list[int]:
+        score = known.scores(words) if known is not None else None
+        if score is None:
+            return list(labels) if labels is not None else []
+        best = int(score.argmax())
+        if labels is not None and level < 2:
+            return [best if best in labels else -1]
+        second = np.partition(score, -2)[-2] if len(score) > 1 else -np.inf
+        return [best if score[best] - second >= LEAD else -1]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
+
+        def handed() -> pd.DataFrame:
+            out = pd.DataFrame([(t, s, n) for (t, s), n in counts.items()], columns=["term", "s", "n"])
+            counts.clear()
+            return out
+
         for batch in batches:
             for text, labels in zip(batch["text"], batch["labels"], strict=True):
-                seen: set[tuple[str, int]] = set()
+                seen: dict[int, set[str]] = {}
                 for words in paragraphs(text):
-                    into = list(labels)
-                    if known is not None and (score := known.scores(words)) is not None:
-                        best = int(score.argmax())
-                        into = [best] if best in labels else [-1]
-                    seen |= {(t, s) for t in terms_of(words) for s in into}
-                counts.update(seen)
-        yield pd.DataFrame([(t, s, n) for (t, s), n in counts.items()], columns=["term", "s", "n"])
-
-    by = labelled.mapInPandas(count, "term string, s int, n long").groupBy("term", "s").agg(F.sum("n").alias("n"))
+                    for s in into(labels, words):
+                        seen.setdefault(s, set()).update(terms_of(words))
+                for s, terms in seen.items():
+                    counts.update([(t, s) for t in terms])
+                if len(counts) > FLUSH:
+                    yield handed()
+        yield handed()
+
+    rows = training.where("labels is not null") if level < 2 else training
+    by = rows.mapInPandas(count, "term string, s int, n long").groupBy("term", "s").agg(F.sum("n").alias("n"))
     cells = by.groupBy("term").agg(F.sum("n").alias("all"), F.max(F.when(F.col("s") >= 0, F.col("n"))).alias("most"), F.collect_list(F.struct("s", "n")).alias("cells"))
-    telling = cells.where((F.col("most") >= 2) & (F.col("most") / (F.col("all") + 0.5) >= CONCENTRATION)).orderBy(F.desc("most"), "term").limit(MAX_TERMS)
-    rows = telling.collect()
-    counts = np.zeros((len(rows), len(subjects)))
-    for i, r in enumerate(rows):
+    telling = cells.where((F.col("most") >= least) & (F.col("most") / (F.col("all") + 2) >= share)).orderBy(F.desc("most"), "term").limit(MAX_TERMS)
+    found = telling.select("term", "cells").collect()
+    counts = np.zeros((len(found), len(subjects)))
+    for i, r in enumerate(found):
         for c in r["cells"]:
             if c["s"] >= 0:
                 counts[i, c["s"]] = c["n"]
-    evidence = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * len(subjects)) * len(subjects)) if len(rows) else counts
-    return Lexicon(subjects, {r["term"]: i for i, r in enumerate(rows)}, evidence)
+    evidence = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * len(subjects)) * len(subjects)) if found else counts
+    return Lexicon.of(subjects, [r["term"] for r in found], evidence)
 
 
 def features(lexicon: Lexicon, text: str | None, source: str | None, sources: list[str]) -> np.ndarray:
@@ -155,6 +197,13 @@ def features(lexicon: Lexicon, text: str | None, source: str | None, sources: li
     return np.concatenate([share, mean, structure, [float(source == s) for s in sources], [float(n > 0)]])
 
 
+def _before(labels: np.ndarray, j: int) -> np.ndarray:
+    """The labels of the subjects before ``j``, zeros for the others."""
+    out = labels.copy()
+    out[:, j:] = 0
+    return out
+
+
 def _link(x: np.ndarray, j: int, k: int, before: np.ndarray) -> np.ndarray:
     """Inputs of the chain's link ``j``: evidence for its subject, structure, source, and the labels decided before it."""
     share, mean = x[:, :k], x[:, k : 2 * k]
@@ -163,11 +212,16 @@ def _link(x: np.ndarray, j: int, k: int, before: np.ndarray) -> np.ndarray:
     return np.concatenate([own, x[:, 2 * k : -1], before], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 30) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps."""
+def _pooled(links: np.ndarray, k: int) -> np.ndarray:
+    """Inputs that mean the same in every link: its own evidence, structure and source, and how many labels came before."""
+    return np.concatenate([links[:, : links.shape[1] - k], links[:, links.shape[1] - k :].sum(axis=1, keepdims=True)], axis=1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, offset: np.ndarray | float = 0.0, steps: int = 30) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps, on top of an offset."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(offset + x @ w, -30, 30)))
         h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + penalty * np.eye(len(w))
         d = np.linalg.solve(h, x.T @ (y - p) - penalty * w)
         w += d
@@ -178,27 +232,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 3
 
 @dataclass
 class Chain:
-    """Logistic links in the order of the subjects, each seeing the labels before it, with Platt calibration."""
+    """Logistic links in the order of the subjects, each seeing the labels before it, with Platt calibration.
+
+    A link is what all links have in common plus what is special to its subject, the latter shrunk towards
+    nothing, so that subjects with few labelled documents lean on the others.
+    """
 
     subjects: list[str]
+    common: np.ndarray
     weights: list[np.ndarray]
-    scales: list[tuple[float, float]]
+    scale: tuple[float, float]
 
     @classmethod
     def fitted(cls, subjects: list[str], x: np.ndarray, y: np.ndarray) -> Chain:
         """Links fitted on four fifths of the documents and calibrated on the rest."""
         k, held = len(subjects), np.arange(len(x)) % 5 == 4
-        weights, scales = [], []
-        for j in range(k):
-            inputs = _link(x, j, k, y[:, :j])
-            w = _logistic(inputs[~held], y[~held, j])
-            z = inputs[held] @ w
-            a, b = _logistic(np.stack([z, np.ones(len(z))], axis=1), y[held, j], penalty=0.05) if held.any() and 0 < y[held, j].sum() < held.sum() else (1.0, 0.0)
-            if a <= 0:  # too few held-out documents to say
-                a, b = 1.0, 0.0
-            weights.append(w)
-            scales.append((float(a), float(b)))
-        return cls(subjects, weights, scales)
+        links = [_link(x, j, k, _before(y, j)) for j in range(k)]
+        shared = [_pooled(inputs, k) for inputs in links]
+        common = _logistic(np.concatenate([s[~held] for s in shared]), np.concatenate([y[~held, j] for j in range(k)]), 1.0)
+        weights = [_logistic(inputs[~held], y[~held, j], 10.0, s[~held] @ common) for j, (inputs, s) in enumerate(zip(links, shared, strict=True))]
+        z = np.concatenate([s[held] @ common + inputs[held] @ w for inputs, s, w in zip(links, shared, weights, strict=True)])
+        truth = np.concatenate([y[held, j] for j in range(k)])
+        # the prior is that the links are calibrated already
+        a, b = _logistic(np.stack([z, np.ones(len(z))], axis=1), truth, 1.0, z) + [1.0, 0.0] if len(z) else (1.0, 0.0)
+        return cls(subjects, common, weights, (max(float(a), 0.1), float(b)))
+
+    def logits(self, x: np.ndarray, j: int, labels: np.ndarray) -> np.ndarray:
+        """Calibrated log odds of the subject ``j`` given the labels before it."""
+        k = len(self.subjects)
+        inputs = _link(x, j, k, _before(labels, j))
+        a, b = self.scale
+        return a * (_pooled(inputs, k) @ self.common + inputs @ self.weights[j]) + b
 
     def decoded(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """The likeliest label combination of each document, by beam search along the chain."""
@@ -206,9 +270,7 @@ class Chain:
         labels, score = np.zeros((n, 1, k)), np.zeros((n, 1))
         for j in range(k):
             width = labels.shape[1]
-            flat = _link(np.repeat(x, width, axis=0), j, k, labels.reshape(n * width, k)[:, :j])
-            a, b = self.scales[j]
-            z = np.clip(a * (flat @ self.weights[j]) + b, -30, 30).reshape(n, width)
+            z = np.clip(self.logits(np.repeat(x, width, axis=0), j, labels.reshape(n * width, k)), -30, 30).reshape(n, width)
             yes, no = -np.log1p(np.exp(-z)), -np.log1p(np.exp(z))
             both = np.concatenate([score + no, score + yes], axis=1)
             grown = np.concatenate([labels, labels], axis=1)
@@ -225,21 +287,27 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
     blanks, repeated, incomplete and partly wrong; ``areas`` has ``subject``. Labels of other subjects
     and null ones don't count. Without labelled documents nothing comes out.
 
-    A lexicon of telling terms is counted over the labelled documents (twice: the second time every
-    paragraph counts for the label that fits it). Each document's paragraphs vote by it; the votes, the
+    A lexicon of telling terms is counted over the labelled documents, then over their paragraphs, each for
+    the label that fits it, then over the paragraphs of a sample of all documents, each for the subject that
+    leads. At most ``MAX_TRAINING`` documents take part in fitting; all are classified. Each document's paragraphs vote by it; the votes, the
     source and the structure are the features of a classifier chain with one calibrated link a subject,
     which sees the subjects before it, and beam search finds the likeliest combination.
     """
     subjects = sorted(r["subject"] for r in areas.where("subject is not null").select("subject").distinct().collect())
     names = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s.strip().lower()), F.lit(i))])
-    known = labels.select("doc_id", names[F.lower(F.trim("subject"))].alias("s")).where("s is not null")
-    sampled = known.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    known = labels.select("doc_id", names[F.lower(F.trim("subject"))].alias("s")).where("s is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("labels"))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    labelled = known.orderBy(*order).limit(MAX_TRAINING)
     slim = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    # at most MAX_LABELLED rows of an id and few numbers: the texts stay where they are
-    labelled = slim.where("text is not null").join(F.broadcast(sampled), "doc_id").persist()
-    lexicon = _lexicon(labelled, subjects, None)
-    lexicon = _lexicon(labelled, subjects, lexicon)
-    sources = sorted(r["source"] for r in labelled.groupBy("source").count().orderBy(F.desc("count")).limit(100).collect() if r["source"])
+    # at most MAX_TRAINING rows of an id and few numbers are broadcast: the texts stay where they are
+    ids = slim.where("text is not null").select("doc_id").join(F.broadcast(labelled), "doc_id", "left")
+    sample = ids.orderBy(F.col("labels").isNull(), *order).limit(MAX_TRAINING)
+    training = slim.join(F.broadcast(sample), "doc_id").persist()
+    lexicon = None
+    for level in range(len(TELLING)):
+        lexicon = _lexicon(training, subjects, lexicon, level)
+    labelled = training.where("labels is not null")
+    sources = sorted(r["source"] for r in labelled.groupBy("source").count().orderBy(F.desc("count"), "source").limit(100).collect() if r["source"])
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(lexicon)
 
@@ -248,8 +316,8 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
             rows = [features(shipped.value, t, s, sources).tolist() for t, s in zip(batch["text"], batch["source"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "x": rows, "labels": batch["labels"]})
 
-    train = labelled.mapInPandas(measure, "doc_id long, x array<double>, labels array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    labelled.unpersist()
+    train = labelled.mapInPandas(measure, "doc_id long, x array<double>, labels array<int>").orderBy(*order).toPandas()
+    training.unpersist()
     y = np.zeros((len(train), len(subjects)))
     for i, own in enumerate(train["labels"]):
         y[i, list(own)] = 1
