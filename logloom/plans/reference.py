@@ -218,14 +218,14 @@ def _position_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNTED = f"{_PLACES}, counted as (select pos, key, i, token, cast(count(*) as double) as f from places group by all)"
 
 
-@query(f"with {_COUNTED} select cast(pos as integer) as pos, key, cast(i as integer) as i, round(1 - sum(f * f) / (sum(f) * sum(f)), 9) as gini from counted group by all")
+@query(f"with {_COUNTED} select cast(pos as integer) as pos, key, cast(i as integer) as i, round(1 - sum(f * f) / (sum(f) * sum(f)), 9) + 0.0 as gini from counted group by all")
 def position_gini(spark, sf_dir):
-    return quality.position_gini(_position_counts(spark, sf_dir), ["pos", "key"]).withColumn("gini", F.round("gini", 9))
+    return quality.position_gini(_position_counts(spark, sf_dir), ["pos", "key"]).withColumn("gini", F.round("gini", 9) + 0.0)
 
 
-@query(f"with {_COUNTED} select cast(pos as integer) as pos, key, cast(i as integer) as i, round(ln(sum(f)) - sum(f * ln(f)) / sum(f), 9) as entropy from counted group by all")
+@query(f"with {_COUNTED} select cast(pos as integer) as pos, key, cast(i as integer) as i, round(ln(sum(f)) - sum(f * ln(f)) / sum(f), 9) + 0.0 as entropy from counted group by all")
 def position_entropy(spark, sf_dir):
-    return quality.position_entropy(_position_counts(spark, sf_dir), ["pos", "key"]).withColumn("entropy", F.round("entropy", 9))
+    return quality.position_entropy(_position_counts(spark, sf_dir), ["pos", "key"]).withColumn("entropy", F.round("entropy", 9) + 0.0)
 
 
 _KNOWN = "known as (select event_id, string_split(template, ' ') as l from labelled_templates where template is not null)"
