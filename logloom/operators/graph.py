@@ -83,17 +83,23 @@ def tfg_edges(found: DataFrame, epsilon: float, outlier: float) -> DataFrame:
     """``src, dst, weight``: transaction edges by the modal time between, if below ``outlier``.
 
     The mode is the largest of the times with the most others within the open interval of ``epsilon``.
-    Counted by a running count over each pair's sorted times: open bounds are the closed range less ties.
+    It is the number of times below the upper end less that of times up to the lower end, both read off one
+    running count over times and ends in order. Each pair's times are cut into stretches of many epsilons that
+    overlap by one, so no task sorts all times of a pair.
     """
-    times = found.groupBy("event", "successor", "dt").agg(F.count("*").alias("_c"))
-    # open interval (dt - eps, dt + eps): as in a search by bisection, of the values dt - eps and dt + eps themselves
-    own = W.partitionBy("event", "successor")
-    cells = F.floor(F.col("dt") / epsilon)
-    left = times.select("event", "successor", "dt", F.explode(F.array(cells - 1, cells, cells + 1)).alias("_b"))
-    right = times.select("event", "successor", F.col("dt").alias("_d"), F.col("_c"), cells.alias("_b"))
-    near = left.join(right, ["event", "successor", "_b"]).where((F.col("_d") > F.col("dt") - epsilon) & (F.col("_d") < F.col("dt") + epsilon))
-    dense = near.groupBy("event", "successor", "dt").agg(F.sum("_c").alias("_n"))
-    best = dense.withColumn("_best", F.max(F.struct("_n", "dt")).over(own)).where(F.col("dt") == F.col("_best.dt"))
+    key = ["event", "successor"]
+    times = found.groupBy(*key, "dt").agg(F.count("*").alias("c"))
+    cell = lambda t: F.floor(t / (64.0 * epsilon))
+    reach = F.array_distinct(F.array(cell(F.col("dt")), cell(F.col("dt") - epsilon), cell(F.col("dt") + epsilon)))
+    row = lambda v, kind, c, sign: F.struct(v.alias("v"), F.lit(kind).alias("kind"), c.alias("c"), F.lit(sign).alias("sign"))
+    points = times.select(*key, "dt", F.explode(reach).alias("k"), row(F.col("dt"), 1, F.col("c"), 0).alias("x"))
+    # at equal values the upper end comes before the times, the lower end after them: the interval is open
+    ends = F.array(row(F.col("dt") + epsilon, 0, F.lit(0).cast("long"), 1), row(F.col("dt") - epsilon, 2, F.lit(0).cast("long"), -1))
+    asked = times.select(*key, "dt", cell(F.col("dt")).alias("k"), F.explode(ends).alias("x"))
+    running = F.sum("x.c").over(W.partitionBy(*key, "k").orderBy("x.v", "x.kind").rowsBetween(W.unboundedPreceding, 0))
+    counted = points.unionByName(asked).withColumn("_r", running).where("x.kind <> 1")
+    dense = counted.groupBy(*key, "dt").agg(F.sum(F.col("x.sign") * F.col("_r")).alias("_n"))
+    best = dense.groupBy(*key).agg(F.max_by("dt", F.struct("_n", "dt")).alias("dt"))
     return best.where((F.col("dt") > -1) & (F.col("dt") < outlier)).select(F.col("event").alias("src"), F.col("successor").alias("dst"), F.col("dt").alias("weight"))
 
 
