@@ -62,7 +62,8 @@ def term_counts(
                 uses.update((field, t) for x in texts for t in split(x))
         least = heavy_share * sum(uses.values())
         out = [(f, t, n) for (f, t), n in uses.items() if n >= least] + [(f, None, n) for f, n in rows.items()]
-        yield pd.DataFrame(out, columns=["field", "term", "n"])
+        if out:
+            yield pd.DataFrame(out, columns=["field", "term", "n"])
 
     proposed = slim.mapInPandas(propose, "field string, term string, n long").groupBy("field", "term").agg(F.sum("n").alias("n"))
     totals = {r["field"]: r["n"] for r in proposed.where("term is null").collect()}
@@ -96,9 +97,11 @@ def term_counts(
                             light[key] = [n, 1]
                 if len(light) > FLUSH:
                     yield handed()
-        yield handed()
-        at = np.flatnonzero(rows)
-        yield pd.DataFrame({"field": [names[i][0] for i in at], "term": [names[i][1] for i in at], "occurrences": uses[at], "records": rows[at]})
+        if light:
+            yield handed()
+        # empty frames are never handed on: their columns have no type that Arrow could take for text
+        if len(at := np.flatnonzero(rows)):
+            yield pd.DataFrame({"field": [names[i][0] for i in at], "term": [names[i][1] for i in at], "occurrences": uses[at], "records": rows[at]})
 
     # a heavy term arrives here as one row a task, a light one as few
     both = slim.mapInPandas(count, "field string, term string, occurrences long, records long")
