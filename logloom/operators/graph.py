@@ -6,27 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.ordering import positions
+
 #: Rows of one stretch of the global order; neighbours are looked for in it and the next one only.
 STRETCH = 4096
 
 
-def _ordered(series: DataFrame, order: str) -> DataFrame:
-    """``rn`` from 0 by ``order``: exact global positions without one task sorting everything."""
-    ranged = series.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
-    from logloom.session import staged
-
-    kept = staged(ranged, "ordered")
-    counts = kept.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))  # one row a task
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return kept.join(before, "_p").withColumn("rn", F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_c", "_first", "_before")
-
-
 def neighbours(series: DataFrame, order: str = "rn", event: str = "event", window: int = 3) -> DataFrame:
     """``event, neighbour`` for each of the next ``window`` rows of every row.
 
     A window over stretches of the order, each with the rows just after it, instead of one over all rows.
     """
-    rows = _ordered(series.select(F.col(order).alias("_o"), F.col(event).alias("event")), "_o")
+    rows = positions(series.select(F.col(order).alias("_o"), F.col(event).alias("event")), "_o")
     k = F.floor(F.col("rn") / STRETCH)
     own = F.struct(k.alias("k"), F.lit(True).alias("own"))
     spread = rows.withColumn("_s", F.explode(F.when((F.col("rn") % STRETCH < window) & (k > 0), F.array(own, F.struct((k - 1).alias("k"), F.lit(False).alias("own")))).otherwise(F.array(own))))

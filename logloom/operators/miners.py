@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.similarity import ANY, lcs_walk
 from logloom.functions.tokens import SPECIAL, key_layer
+from logloom.operators.ordering import positions
 from logloom.session import staged
 
 
@@ -404,11 +405,15 @@ def _numbered(found: DataFrame, by: list[str], same_text: bool) -> Mined:
     """Number clusters by ``by``; clusters of one text are one event, if ``same_text``."""
     first = found.groupBy("a", "b", "c").agg(F.min("ord").alias("ord"), F.first("text").alias("text"), F.count("*").alias("n"))
     first = first.withColumns({"_a": F.min("ord").over(W.partitionBy("a")), "_b": F.min("ord").over(W.partitionBy("a", "b"))})
-    # one row per cluster: templates, not messages, are numbered here
-    ranked = first.withColumn("_rank", F.row_number().over(W.orderBy(*by)))
+    # templates, not messages, are numbered from here on
+    ranked = positions(first, *by, name="_rank")
     if same_text:
         ranked = ranked.withColumn("_rank", F.min("_rank").over(W.partitionBy("text")))
-    ranked = ranked.withColumn("event", F.dense_rank().over(W.orderBy("_rank")).cast("long"))
+        numbers = positions(ranked.select("_rank").distinct(), "_rank", name="event")
+        ranked = ranked.join(numbers, "_rank")
+    else:
+        ranked = ranked.withColumn("event", F.col("_rank"))
+    ranked = ranked.withColumn("event", (F.col("event") + 1).cast("long"))
     assigned = found.join(ranked.select("a", "b", "c", "event"), ["a", "b", "c"]).select("log_id", "event")
     return Mined(assigned, ranked.groupBy("event").agg(F.min("text").alias("template"), F.sum("n").alias("n")))
 

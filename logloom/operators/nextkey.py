@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,16 @@ def back_off(windows: DataFrame, length: int, keys: str = "keys") -> DataFrame:
     return out
 
 
+def save_model(model: DataFrame, path: str) -> None:
+    """Write a back-off model as a Parquet table."""
+    model.write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> DataFrame:
+    """Read a back-off model."""
+    return spark.read.parquet(path)
+
+
 def predicted(model: DataFrame, windows: DataFrame, length: int, key: list[str], keys: str = "keys") -> DataFrame:
     """Probabilities of all next keys for each window: those of the longest context that the model knows."""
     asked = windows.select(*key, F.col(keys), F.explode(F.sequence(F.lit(0), F.lit(length))).alias("size")).withColumn("context", F.slice(F.col(keys), F.lit(length + 1) - F.col("size"), F.col("size")))

@@ -72,7 +72,7 @@ def frequency_histogram(rows: DataFrame, group: str, event: str) -> DataFrame:
 
 def first_appearances(rows: DataFrame, group: str, event: str, order: str) -> DataFrame:
     """The first row of each event in each group."""
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(group, event).orderBy(order))).where("_r = 1").drop("_r")
+    return rows.groupBy(F.col(group).alias("_a"), F.col(event).alias("_b")).agg(F.min_by(F.struct(*rows.columns), order).alias("_first")).select("_first.*")
 
 
 def aligned(rows: DataFrame, group: str, event: str, order: str, frequencies: list[int]) -> DataFrame:

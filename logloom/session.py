@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 #: Bytes above which a table is never broadcast by hand.
 BROADCAST_BYTES = 8 << 20
+
+
+@contextmanager
+def timed(label: str, report=print) -> Iterator[None]:
+    """Report the seconds that a block took."""
+    began = time.perf_counter()
+    try:
+        yield
+    finally:
+        report(f"{label}: {time.perf_counter() - began:.3f} s")

@@ -13,6 +13,7 @@ from logloom.operators.assembly import assembled, starts_with_date, starts_with_
 from logloom.operators.nextkey import WorkflowBuilder
 from logloom.operators.graph import dot
 from logloom.sources import readers, sinks
+from logloom.sources.formalize import formalize
 from logloom.streaming.online import assemble_stream, mine_bsg_stream, windowed_counts
 
 RAW = ["2018-10-15 10:00:00.123 99 INFO one", "  two", "", "2018-10-15 10:00:01 ERROR three", "2018-10-15 10:00:02 done"]
@@ -41,6 +42,12 @@ def test_lines_and_records(spark, folder):
     assert (one.time, one.level, one.ms_id, one.message) == ("2018-10-15 10:00:00.123", "INFO", None, " one")
 
 
+def test_formalize(spark, folder):
+    formalize(spark, {str(folder / "in"): str(folder / "out")})
+    rows = readers.read_csv(spark, str(folder / "out"), readers.FORMALIZED).orderBy("log_id").collect()
+    assert [r.log_id for r in rows] == [0, 1, 2, 3, 4] and [r.level for r in rows] == ["INFO", "ERROR", None, "ERROR", None]
+
+
 def test_stamp_order_beats_place(spark):
     row = spark.createDataFrame([("2018-10-15 10:00:00,123 then 2018/10/15 10:00:00",)], "line string").select(*formal_fields(F.col("line"))).first()
     assert row.time == "2018/10/15 10:00:00"
