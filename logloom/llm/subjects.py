@@ -36,7 +36,7 @@ _BODY = re.compile(r"\\begin\s*\{document\}")
 _CUTS = [
     re.compile(r"\\begin\s*\{comment\}.*?(?:\\end\s*\{comment\}|\Z)", re.DOTALL),
     re.compile(r"\\iffalse\b.*?(?:\\fi\b|\Z)", re.DOTALL),
-    re.compile(r"(?<!\\)%.*"),
+    re.compile(r"%(?<!\\%).*"),
     re.compile(r"\\end\s*\{document\}.*", re.DOTALL),
     re.compile(r"\\begin\s*\{thebib.*?(?:\\end\s*\{thebibliography\}|\Z)", re.DOTALL),
     re.compile(r"\\begin\s*\{(equation|align|figure|table|eqnarray|gather|tikzpicture|verbatim)\*?\}.*?(?:\\end\s*\{\1\*?\}|\Z)", re.DOTALL),
@@ -77,7 +77,7 @@ def paragraphs(text: str) -> list[list[str]]:
     if macros:
         names = "|".join(sorted(macros, key=len, reverse=True))
         text = re.sub(rf"\\({names})(?![A-Za-z])(?:\{{\}})?", lambda m: macros[m[1]], text)
-    lines = ["" if _LINE.match(x) or _DEFINITION.match(x) else x for x in text.split("\n")]
+    lines = ["" if "\\" in x and (_LINE.match(x) or _DEFINITION.match(x)) else x for x in text.split("\n")]
     out = []
     for block in _BLANK.split("\n".join(lines)):
         words = [w[:-1] if len(w) > 4 and w[-1] == "s" and w[-2] != "s" else w for w in _WORD.findall(_NOISE.sub(" ", block).lower())]
@@ -115,24 +115,26 @@ class Lexicon:
     def shares(self, paras: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Share of the paragraphs whose best subject it is, and mean posterior, by subject."""
         k = len(self.subjects)
-        votes, mean = np.zeros(k), np.zeros(k)
-        for words in paras:
-            score = self.scores(words)
-            if score is not None:
-                p = np.exp(score - score.max())
-                p /= p.sum()
-                votes[int(p.argmax())] += 1
-                mean += p
-        n = max(1, len(paras))
-        return votes / n, mean / n
+        found = [at for words in paras if (at := self.rows_of(words))]
+        if not found:
+            return np.zeros(k), np.zeros(k)
+        starts = np.cumsum([0, *map(len, found[:-1])])
+        scores = np.add.reduceat(self.evidence[[i for at in found for i in at]], starts, axis=0)
+        p = np.exp(scores - scores.max(axis=1, keepdims=True))
+        mean = (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+        return np.bincount(scores.argmax(axis=1), minlength=k) / len(paras), mean / len(paras)
 
     def scores(self, words: list[str]) -> np.ndarray | None:
-        """Summed evidence of a paragraph's terms, each once, None if it has none."""
+        """Summed evidence of a paragraph's terms, None if it has none."""
+        at = self.rows_of(words)
+        return self.evidence[at].sum(axis=0) if at else None
+
+    def rows_of(self, words: list[str]) -> list[int]:
+        """Rows of a paragraph's terms, each once, in order."""
         known, pairs = self.words, self.pairs
         at = {known[w] for w in words if w in known}
-        if pairs:
-            at |= {i for a, b in zip(words, words[1:], strict=False) if a in pairs and (i := pairs[a].get(b)) is not None}
-        return self.evidence[sorted(at)].sum(axis=0) if at else None
+        at.update(i for a, b in zip(words, words[1:], strict=False) if a in pairs and (i := pairs[a].get(b)) is not None)
+        return sorted(at)
 
 
 def _lexicon(training: DataFrame, subjects: list[str], known: Lexicon | None, level: int) -> Lexicon:
