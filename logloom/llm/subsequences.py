@@ -64,8 +64,7 @@ def _mined(rows: pd.DataFrame, size: int, max_gap: int, wanted: np.ndarray | Non
         at = [np.searchsorted(ids, wanted[:, i]) for i in (0, 1)]
         known = (at[0] < len(ids)) & (at[1] < len(ids))
         known &= (ids[np.minimum(at[0], len(ids) - 1)] == wanted[:, 0]) & (ids[np.minimum(at[1], len(ids) - 1)] == wanted[:, 1])
-        keep = np.zeros((len(ids), len(ids)), bool)
-        keep[at[0][known], at[1][known]] = True
+        keep = np.unique(at[0][known] * k + at[1][known])
     found = []
     for b in range(2, 2 + reach):
         for c in range(b + 1, b + 1 + reach) if size == 3 else (None,):
@@ -76,7 +75,7 @@ def _mined(rows: pd.DataFrame, size: int, max_gap: int, wanted: np.ndarray | Non
                 ok &= (p[:, 3] != p[:, 1]) & (p[:, 3] != p[:, 2])
             p = p[ok]
             if keep is not None:
-                p = p[keep[p[:, 1], p[:, 2]] & keep[p[:, 2], p[:, 3]]]
+                p = p[np.isin(p[:, 1] * k + p[:, 2], keep) & np.isin(p[:, 2] * k + p[:, 3], keep)]
             found.append(p)
     p = np.concatenate(found)
     packed = p[:, 1]
