@@ -586,7 +586,7 @@ def term_pairs(template: list[str]) -> tuple:
     return tuple((a, b) for i, a in enumerate(words) for b in words[i + 1 :]) if len(words) > 1 else tuple(words)
 
 
-def mine_icisa(logs: DataFrame, order: str = "log_id", words: str = "words", threshold: float = 0.5) -> Mined:
+def mine_first_fit(logs: DataFrame, order: str = "log_id", words: str = "words", threshold: float = 0.5) -> Mined:
     """First fit per length; templates equal without ``*`` are one. Messages without words get no event."""
 
     def run(pdf: pd.DataFrame) -> list[tuple]:
@@ -598,7 +598,7 @@ def mine_icisa(logs: DataFrame, order: str = "log_id", words: str = "words", thr
     return _numbered(_grouped(rows, ["len"], run), ["_a", "c"], same_text=True)
 
 
-def icisa_sweep(logs: DataFrame, order: str = "log_id", words: str = "words", thresholds: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+def first_fit_sweep(logs: DataFrame, order: str = "log_id", words: str = "words", thresholds: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
     """``threshold, compactness, distance, quality, best``: mining quality of each threshold; of equal ones the larger is best.
 
     quality = mean share of constants times the square of the templates' mean least distance. Templates of

@@ -66,7 +66,7 @@ def quality(templates: DataFrame, key: str, tokens: Column, lead: bool = False)
 
 
 def agreement(labels: DataFrame, standard: DataFrame, key: str = "log_id", event: str = "event") -> DataFrame:
-    """``bupt, njupt``: how well a labelling fits a standard one, as means over the rows of ``labels``.
+    """``squared_fit, mean_fit``: how well a labelling fits a standard one, as means over the rows of ``labels``.
 
     With G the row's group, F its standard group and I what both share: mean of ((I/G)^2 + sqrt(I/F)) / 2, and
     of (I/G + I/F) / 2. Rows without standard label share nothing but count.
@@ -76,7 +76,7 @@ def agreement(labels: DataFrame, standard: DataFrame, key: str = "log_id", event
     f = cells.withColumns({"g": F.sum("i").over(W.partitionBy("ex")), "f": F.sum("i").over(W.partitionBy("ey"))})
     c1, c2 = F.when(F.col("ey").isNull(), 0.0).otherwise(F.col("i") / F.col("g")), F.when(F.col("ey").isNull(), 0.0).otherwise(F.col("i") / F.col("f"))
     mean = lambda v: F.sum(v * F.col("i")) / F.sum("i")
-    return f.agg(mean((c1 * c1 + F.sqrt(c2)) / 2).alias("bupt"), mean((c1 + c2) / 2).alias("njupt"))
+    return f.agg(mean((c1 * c1 + F.sqrt(c2)) / 2).alias("squared_fit"), mean((c1 + c2) / 2).alias("mean_fit"))
 
 
 def written_back(rows: DataFrame, assigned: DataFrame, templates: DataFrame, message: str) -> DataFrame:

@@ -268,15 +268,15 @@ _mined("bsgi", miners.mine_bsgi)
 _mined("drain", miners.mine_drain)
 _mined("draga", miners.mine_draga)
 _mined("spell", miners.mine_spell)
-_mined("icisa", miners.mine_icisa)
+_mined("first_fit", miners.mine_first_fit)
 _mined("bsg_messages", miners.mine_bsg, "iaas_filtered")
 _mined("bsgi_messages", miners.mine_bsgi, "iaas_filtered")
 _mined("drain_messages", miners.mine_drain, "iaas_filtered")
 
 
 @query()
-def icisa_sweep(spark, sf_dir):
-    return miners.icisa_sweep(rendered(spark, sf_dir))
+def first_fit_sweep(spark, sf_dir):
+    return miners.first_fit_sweep(rendered(spark, sf_dir))
 
 
 @query()
@@ -547,11 +547,11 @@ def _standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "standard_labels").groupBy("log_id").agg(F.min("event").alias("event"))
 
 
-@query(f"""with {_LABELS} select round(sum(((i / g) * (i / g) + sqrt(i / f)) / 2 * i) / sum(i), 9) as bupt, round(sum((i / g + i / f) / 2 * i) / sum(i), 9) as njupt from f""")
+@query(f"""with {_LABELS} select round(sum(((i / g) * (i / g) + sqrt(i / f)) / 2 * i) / sum(i), 9) as squared_fit, round(sum((i / g + i / f) / 2 * i) / sum(i), 9) as mean_fit from f""")
 def label_agreement(spark, sf_dir):
     standard = _standard(spark, sf_dir)
     own = table(spark, sf_dir, "iaas_filtered").join(standard.select("log_id"), "log_id").select("log_id", F.coalesce("level", F.lit("")).alias("event"))
-    return quality.agreement(own, standard).select(F.round("bupt", 9).alias("bupt"), F.round("njupt", 9).alias("njupt"))
+    return quality.agreement(own, standard).select(F.round("squared_fit", 9).alias("squared_fit"), F.round("mean_fit", 9).alias("mean_fit"))
 
 
 @query("""with std as (select log_id, min(event) as event from standard_labels group by 1),

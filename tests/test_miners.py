@@ -65,10 +65,10 @@ def test_spell(logs):
     ]
 
 
-def test_icisa(logs):
-    mined = miners.mine_icisa(logs, threshold=0.5)
+def test_first_fit(logs):
+    mined = miners.mine_first_fit(logs, threshold=0.5)
     assert sum(r.n for r in mined.templates.collect()) == 12
-    sweep = miners.icisa_sweep(logs).collect()
+    sweep = miners.first_fit_sweep(logs).collect()
     assert len(sweep) == 9 and sum(r.best for r in sweep) == 1
 
 
