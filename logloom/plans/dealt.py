@@ -46,7 +46,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that hold at least 3 % of all rows."""
     total = table(spark, sf_dir, "event_type_ansible").agg(F.count("*").alias("_total"))
     figures = p7_figures(spark, sf_dir).where("key_value is not null")
-    return figures.join(F.broadcast(total)).where("n_rows >= 0.03 * _total").select("field", "key_value")
+    return figures.join(F.broadcast(total)).where(F.col("n_rows") / F.col("_total") >= 0.03).select("field", "key_value")
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
