@@ -106,8 +106,9 @@ def term_counts(
     # a heavy term arrives here as one row a task, a light one as few
     both = slim.mapInPandas(count, "field string, term string, occurrences long, records long")
     counted = both.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    limit = F.lit(None).cast("double")
+    total = F.lit(None).cast("long")
     for field, n in totals.items():
-        limit = F.when(F.col("field") == field, float(n) * max_share).otherwise(limit)
-    mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") > limit, "common")
+        total = F.when(F.col("field") == field, F.lit(n).cast("long")).otherwise(total)
+    # a share that is exactly the limit divides to the limit's own double
+    mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") / total > max_share, "common")
     return counted.select("field", "term", "occurrences", "records", mark.alias("mark"))
