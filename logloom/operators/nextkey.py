@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Contexts of a workflow model that are taken to the driver at most.
 MAX_CONTEXTS = 200_000
+#: States of walks that are visited for a workflow's edges at most.
+MAX_STATES = 2_000_000
 
 
 def transition_probabilities(windows: DataFrame, length: int, keys: str = "keys") -> DataFrame:
@@ -82,60 +85,110 @@ class WorkflowBuilder:
         self.finished: list[Workflow] = []
 
     def build(self, seed: list[int]) -> list[Workflow]:
-        """All finished flows from a seed, in the order found."""
+        """All finished flows from a seed, in the order found; more than ``max_flows`` are refused."""
         todo = [(Workflow(list(seed), []), self.width, 0, 0, -1)]
-        while todo and len(self.finished) < self.max_flows:
+        while todo:
             flow, width, start, distance, index = todo.pop()
-            while True:
-                if start + width > len(flow.keys):
-                    break
-                options = self._next(tuple(flow.keys[start : start + width]))
-                if not options:
-                    break
-                if options[0][1] > self.sure:
-                    step = self._append(flow, width, start, *options[0], distance, index)
-                    if step is None:
-                        break
-                    start, distance, index = step
-                elif width <= self.longest and start > 0:
-                    width, start = width + 1, start - 1
+            if len(flow.keys) > self.most:
+                continue
+            for wide, at, key, p in reversed(self._moves(flow.keys, width, start)):
+                if (loop := self._loop(flow.keys, key, distance, index)) is None:
+                    self.finished.append(flow)
+                    if len(self.finished) > self.max_flows:
+                        raise ValueError(f"more than {self.max_flows} workflows")
                 else:
-                    for key, p in reversed([o for o in options if o[1] >= self.least]):
-                        branch = Workflow(list(flow.keys), list(flow.edges))
-                        at = len(branch.keys) - self.width
-                        if (step := self._append(branch, self.width, at, key, p, distance, index)) is not None:
-                            todo.append((branch, self.width, *step))
-                    break
+                    edge = (tuple(flow.keys[at : at + wide]), key, p)
+                    todo.append((Workflow([*flow.keys, key], [*flow.edges, edge]), wide, at + 1, *loop))
         return self.finished
 
+    def edges(self, seed: list[int]) -> set[tuple[tuple[int, ...], int, float]]:
+        """Edges ``(context, next, p)`` of all finished flows from a seed, without listing the flows.
+
+        Walks of one length that can't differ any more are one state. Those of one length are extended
+        together, and a state's edges count once a flow finishes after it. That ends when no walk goes on or
+        when every edge has been met that walks could take at all; more than ``MAX_STATES`` states are refused.
+        """
+        possible = self._possible(seed)
+        found: set[tuple[tuple[int, ...], int, float]] = set()
+        before: dict[tuple, list] = {}
+        layer, states = {self._state(tuple(seed), self.width, 0, 0, -1): None}, 0
+        for _ in range(len(seed), self.most + 1):
+            after: dict[tuple, None] = {}
+            ends = []
+            for state in layer:
+                _, keys, width, start, distance, index = state
+                for wide, at, key, p in self._moves(keys, width, start):
+                    if (loop := self._loop(keys, key, distance, index)) is None:
+                        ends.append(state)
+                        continue
+                    step = self._state((*keys, key), wide, at + 1, *loop, state[0] + 1)
+                    after[step] = None
+                    before.setdefault(step, []).append((state, (tuple(keys[at : at + wide]), key, p)))
+            while ends:
+                for state, edge in before.pop(ends.pop(), ()):
+                    found.add(edge)
+                    ends.append(state)
+            states += len(after)
+            if found == possible or not after:
+                break
+            if states > MAX_STATES:
+                raise ValueError(f"more than {MAX_STATES} states of walks, {len(found)} of at most {len(possible)} edges met")
+            layer = after
+        return found
+
+    def _state(self, keys: tuple[int, ...], width: int, start: int, distance: int, index: int, n: int = 0) -> tuple:
+        """What a walk's future depends on: keys since the last place of each, of the loop and of the longest context."""
+        last = {k: i for i, k in enumerate(keys)}
+        cut = max(0, min([*last.values(), start - self.longest - 1, *([index] if index >= 0 else [])]))
+        return n, keys[cut:], width, start - cut, distance, index if index < 0 else index - cut
+
+    def _possible(self, seed: list[int]) -> set[tuple[tuple[int, ...], int, float]]:
+        """Edges of all walks from a seed if loops didn't finish them: no others can be in a flow."""
+        found = set()
+        layer = {(tuple(seed), self.width, 0)}
+        for _ in range(len(seed), self.most + 1):
+            after = set()
+            for keys, width, start in layer:
+                for wide, at, key, p in self._moves(keys, width, start):
+                    found.add((tuple(keys[at : at + wide]), key, p))
+                    cut = max(0, at + 1 - self.longest - 1)
+                    after.add(((*keys, key)[cut:], wide, at + 1 - cut))
+            layer = after
+        return found
+
+    def _moves(self, keys: Sequence[int], width: int, start: int) -> list[tuple[int, int, int, float]]:
+        """Width and start of the context, key and probability of each next step: one near certain, or all branches."""
+        while start + width <= len(keys):
+            options = self._next(tuple(keys[start : start + width]))
+            if not options:
+                break
+            if options[0][1] > self.sure:
+                return [(width, start, *options[0])]
+            if width > self.longest or start <= 0:
+                return [(self.width, len(keys) - self.width, *o) for o in options if o[1] >= self.least]
+            width, start = width + 1, start - 1
+        return []
+
     def _next(self, context: tuple[int, ...]) -> list[tuple[int, float]]:
         while context and context not in self.table:
             context = context[1:]
         return self.table.get(context, [])
 
-    def _append(self, flow: Workflow, width: int, start: int, key: int, p: float, distance: int, index: int) -> tuple[int, int, int] | None:
-        if len(flow.keys) > self.most:
-            return None
-        if key in flow.keys and index == -1:
-            index = len(flow.keys) - 1 - flow.keys[::-1].index(key)
-            distance, index = len(flow.keys) - index, index + 1
-        elif key in flow.keys and key == flow.keys[index]:
-            if distance == 1:
-                self.finished.append(flow)
-                return None
-            distance, index = distance - 1, index + 1
-        else:
-            distance, index = 0, -1
-        flow.edges.append((tuple(flow.keys[start : start + width]), key, p))
-        flow.keys.append(key)
-        return start + 1, distance, index
+    def _loop(self, keys: Sequence[int], key: int, distance: int, index: int) -> tuple[int, int] | None:
+        """Distance and index of the loop after a next key, None where it's finished."""
+        if key in keys and index == -1:
+            index = len(keys) - 1 - keys[::-1].index(key)
+            return len(keys) - index, index + 1
+        if key in keys and key == keys[index]:
+            return None if distance == 1 else (distance - 1, index + 1)
+        return 0, -1
 
 
 def workflow_edges(windows: DataFrame, length: int, seed: list[int], keys: str = "keys") -> DataFrame:
-    """``flow, step, context, next, p``: edges of all workflows from a seed, by the back-off model over the windows.
+    """``context, next, p``: each edge of the workflows from a seed once, by the back-off model over the windows.
 
     The model's contexts go to the driver: they are few where workflows are meant to be read, and more than
-    ``MAX_CONTEXTS`` are refused. The graph itself is walked there.
+    ``MAX_CONTEXTS`` are refused. The graph itself is walked there; see ``WorkflowBuilder.edges``.
     """
     model = back_off(windows, length, keys).select("context", "next", "p")
     rows = model.limit(MAX_CONTEXTS + 1).collect()
@@ -144,6 +197,6 @@ def workflow_edges(windows: DataFrame, length: int, seed: list[int], keys: str =
     table: dict[tuple[int, ...], list[tuple[int, float]]] = {}
     for r in sorted(rows, key=lambda r: (-r["p"], r["next"])):
         table.setdefault(tuple(r["context"]), []).append((r["next"], r["p"]))
-    flows = WorkflowBuilder(table, width=min(2, length), longest=length).build(seed)
-    out = [(i, j, ",".join(map(str, c)), k, p) for i, f in enumerate(flows) for j, (c, k, p) in enumerate(f.edges)]
-    return windows.sparkSession.createDataFrame(out, "flow int, step int, context string, next long, p double")
+    edges = WorkflowBuilder(table, width=min(2, length), longest=length).edges(seed)
+    out = [(",".join(map(str, c)), k, p) for c, k, p in sorted(edges)]
+    return windows.sparkSession.createDataFrame(out, "context string, next long, p double")

@@ -1,6 +1,7 @@
 """Sources, sinks, assembly and streams."""
 
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from logloom.functions.formal import formal_fields, valid_date
 from logloom.functions.tokens import mask, read_rules, tokenize
 from logloom.operators import miners
 from logloom.operators.assembly import assembled, starts_with_date, starts_with_two
-from logloom.operators.nextkey import WorkflowBuilder
 from logloom.operators.graph import dot
+from logloom.operators.nextkey import WorkflowBuilder, workflow_edges
 from logloom.sources import readers, sinks
 from logloom.sources.formalize import formalize
 from logloom.streaming.online import assemble_stream, mine_bsg_stream, windowed_counts
@@ -113,6 +114,28 @@ def test_workflow_loop():
     assert WorkflowBuilder({}).build([1, 2]) == []
 
 
+def test_workflow_edges_are_whole():
+    r = random.Random(7)
+    for _ in range(200):
+        keys = r.randint(2, 4)
+        table = {}
+        for context in [(), *((a,) for a in range(keys)), *((a, b) for a in range(keys) for b in range(keys))]:
+            weights = {k: r.random() ** 2 for k in r.sample(range(keys), 2)}
+            table[context] = sorted(((k, w / sum(weights.values())) for k, w in weights.items()), key=lambda o: -o[1])
+        flows = WorkflowBuilder(table, longest=2, most=9, max_flows=10**6).build([0, 1])
+        assert WorkflowBuilder(table, longest=2, most=9).edges([0, 1]) == {e for f in flows for e in f.edges}
+
+
+def test_workflows_are_not_cut_silently(spark):
+    table = {(a, b): [(c, 1 / 3) for c in range(3)] for a in range(3) for b in range(3)}
+    with pytest.raises(ValueError, match="more than 1000 workflows"):
+        WorkflowBuilder(table).build([0, 1])
+    walk = [[a, b, c] for a in range(3) for b in range(3) for c in range(3)]
+    windows = spark.createDataFrame([(w,) for w in walk], "keys array<long>")
+    got = workflow_edges(windows, 2, [0, 1]).collect()
+    assert sorted((r.context, r.next) for r in got) == sorted((f"{a},{b}", c) for a, b, c in walk)
+
+
 def _run(stream, name):
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").start()
     q.processAllAvailable()
