@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.mix import source_name
 
-#: Documents that lexicon and chain are fitted on at most: labelled ones first, then others, by hash of the id.
+#: Labelled documents whose labels lexicon and chain are fitted on at most, by hash of the id.
 MAX_TRAINING = 20_000
 #: Terms of the lexicon at most, the most telling first; the lexicon is broadcast.
 MAX_TERMS = 60_000
@@ -47,6 +47,7 @@ _DEFINITION = re.compile(r"\\(?:re)?(?:new|provide)command\b.*|\\(?:def|let|Decl
 _LINE = re.compile(r"\s*\\(?:(?:sub)*section|chapter|part|title|author|date|maketitle|bibliographystyle|bibliography|input|include|subfile|includegraphics|documentclass|usepackage)\b.*")
 _NOISE = re.compile(r"\$[^$]*\$|\\\(.*?\\\)|\\(?:cite\w*|ref|eqref|label|pageref|url|includegraphics)\s*(?:\[[^\]]*\])?\{[^}]*\}|\\(?:begin|end)\s*\{[^}]*\}|\\[A-Za-z]+\*?|~@?c?", re.DOTALL)
 _WORD = re.compile(r"[^\W\d_]+")
+_ASCII_WORD = re.compile(r"[a-z]+")
 _MOJIBAKE = re.compile("[\u00c2-\u00c5][\u0080-\u00bf]")
 _BLANK = re.compile(r"\n[ \t]*\n")
 
@@ -80,7 +81,9 @@ def paragraphs(text: str) -> list[list[str]]:
     lines = ["" if "\\" in x and (_LINE.match(x) or _DEFINITION.match(x)) else x for x in text.split("\n")]
     out = []
     for block in _BLANK.split("\n".join(lines)):
-        words = [w[:-1] if len(w) > 4 and w[-1] == "s" and w[-2] != "s" else w for w in _WORD.findall(_NOISE.sub(" ", block).lower())]
+        block = _NOISE.sub(" ", block).lower()
+        found = (_ASCII_WORD if block.isascii() else _WORD).findall(block)  # the same words, the first faster
+        words = [w[:-1] if w[-1] == "s" and len(w) > 4 and w[-2] != "s" else w for w in found]
         if len(words) >= MIN_WORDS:
             out.append(words)
     return out
@@ -88,7 +91,7 @@ def paragraphs(text: str) -> list[list[str]]:
 
 def terms_of(words: list[str]) -> set[str]:
     """Words and neighbouring pairs of a paragraph."""
-    return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+    return {*words, *map(" ".join, zip(words, words[1:], strict=False))}
 
 
 @dataclass
@@ -115,25 +118,26 @@ class Lexicon:
     def shares(self, paras: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Share of the paragraphs whose best subject it is, and mean posterior, by subject."""
         k = len(self.subjects)
-        found = [at for words in paras if (at := self.rows_of(words))]
-        if not found:
+        _, scores = self.scores(paras)
+        if not len(scores):
             return np.zeros(k), np.zeros(k)
-        starts = np.cumsum([0, *map(len, found[:-1])])
-        scores = np.add.reduceat(self.evidence[[i for at in found for i in at]], starts, axis=0)
         p = np.exp(scores - scores.max(axis=1, keepdims=True))
         mean = (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
         return np.bincount(scores.argmax(axis=1), minlength=k) / len(paras), mean / len(paras)
 
-    def scores(self, words: list[str]) -> np.ndarray | None:
-        """Summed evidence of a paragraph's terms, None if it has none."""
-        at = self.rows_of(words)
-        return self.evidence[at].sum(axis=0) if at else None
+    def scores(self, paras: list[list[str]]) -> tuple[list[int], np.ndarray]:
+        """Numbers of the paragraphs that have terms of the lexicon, and the summed evidence of each."""
+        rows = [(i, at) for i, words in enumerate(paras) if (at := self.rows_of(words))]
+        if not rows:
+            return [], np.zeros((0, len(self.subjects)))
+        starts = np.cumsum([0, *(len(at) for _, at in rows[:-1])])
+        return [i for i, _ in rows], np.add.reduceat(self.evidence[[r for _, at in rows for r in at]], starts, axis=0)
 
     def rows_of(self, words: list[str]) -> list[int]:
         """Rows of a paragraph's terms, each once, in order."""
         known, pairs = self.words, self.pairs
         at = {known[w] for w in words if w in known}
-        at.update(i for a, b in zip(words, words[1:], strict=False) if a in pairs and (i := pairs[a].get(b)) is not None)
+        at.update([pairs[a][b] for a, b in zip(words, words[1:], strict=False) if a in pairs and b in pairs[a]])
         return sorted(at)
 
 
@@ -145,38 +149,45 @@ def _lexicon(training: DataFrame, subjects: list[str], known: Lexicon | None, le
     """
     least, share = TELLING[level]
 
-    def into(labels: list[int] | None, words: list[str]) -> list[int]:
-        score = known.scores(words) if known is not None else None
-        if score is None:
-            return list(labels) if labels is not None else []
-        best = int(score.argmax())
+    def into(labels: list[int] | None, paras: list[list[str]]) -> list[list[int]]:
+        out = [list(labels) if labels is not None else []] * len(paras)
+        at, scores = known.scores(paras) if known is not None else ([], None)
+        if not at:
+            return out
+        best = scores.argmax(axis=1)
         if labels is not None and level < 2:
-            return [best if best in labels else -1]
-        second = np.partition(score, -2)[-2] if len(score) > 1 else -np.inf
-        return [best if score[best] - second >= LEAD else -1]
+            fits = np.isin(best, labels)
+        elif scores.shape[1] > 1:
+            top = np.partition(scores, -2, axis=1)
+            fits = top[:, -1] - top[:, -2] >= LEAD
+        else:
+            fits = np.ones(len(at), bool)
+        for i, s in zip(at, np.where(fits, best, -1).tolist(), strict=True):
+            out[i] = [s]
+        return out
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        counts: dict[int, Counter] = {}
 
         def handed() -> pd.DataFrame:
-            out = pd.DataFrame([(t, s, n) for (t, s), n in counts.items()], columns=["term", "s", "n"])
+            out = pd.DataFrame([(t, s, n) for s, own in counts.items() for t, n in own.items()], columns=["term", "s", "n"])
             counts.clear()
             return out
 
         for batch in batches:
             for text, labels in zip(batch["text"], batch["labels"], strict=True):
                 seen: dict[int, set[str]] = {}
-                for words in paragraphs(text):
-                    for s in into(labels, words):
+                paras = paragraphs(text)
+                for words, own in zip(paras, into(labels, paras), strict=True):
+                    for s in own:
                         seen.setdefault(s, set()).update(terms_of(words))
                 for s, terms in seen.items():
-                    counts.update([(t, s) for t in terms])
-                if len(counts) > FLUSH:
+                    counts.setdefault(s, Counter()).update(terms)
+                if sum(map(len, counts.values())) > FLUSH:
                     yield handed()
         yield handed()
 
-    rows = training.where("labels is not null") if level < 2 else training
-    by = rows.mapInPandas(count, "term string, s int, n long").groupBy("term", "s").agg(F.sum("n").alias("n"))
+    by = training.mapInPandas(count, "term string, s int, n long").groupBy("term", "s").agg(F.sum("n").alias("n"))
     cells = by.groupBy("term").agg(F.sum("n").alias("all"), F.max(F.when(F.col("s") >= 0, F.col("n"))).alias("most"), F.collect_list(F.struct("s", "n")).alias("cells"))
     telling = cells.where((F.col("most") >= least) & (F.col("most") / (F.col("all") + 2) >= share)).orderBy(F.desc("most"), "term").limit(MAX_TERMS)
     found = telling.select("term", "cells").collect()
@@ -290,9 +301,9 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
     and null ones don't count. Without labelled documents nothing comes out.
 
     A lexicon of telling terms is counted over the labelled documents, then over their paragraphs, each for
-    the label that fits it, then over the paragraphs of a sample of all documents, each for the subject that
-    leads. At most ``MAX_TRAINING`` documents take part in fitting; all are classified. Each document's paragraphs vote by it; the votes, the
-    source and the structure are the features of a classifier chain with one calibrated link a subject,
+    the label that fits it, then over the paragraphs of all documents, each for the subject that leads. The
+    labels of at most ``MAX_TRAINING`` documents are used; all documents are classified. Each document's
+    paragraphs vote by it; the votes, the source and the structure are the features of a classifier chain with one calibrated link a subject,
     which sees the subjects before it, and beam search finds the likeliest combination.
     """
     subjects = sorted(r["subject"] for r in areas.where("subject is not null").select("subject").distinct().collect())
@@ -302,14 +313,12 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
     labelled = known.orderBy(*order).limit(MAX_TRAINING)
     slim = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text")
     # at most MAX_TRAINING rows of an id and few numbers are broadcast: the texts stay where they are
-    ids = slim.where("text is not null").select("doc_id").join(F.broadcast(labelled), "doc_id", "left")
-    sample = ids.orderBy(F.col("labels").isNull(), *order).limit(MAX_TRAINING)
-    training = slim.join(F.broadcast(sample), "doc_id").persist()
+    training = slim.where("text is not null").join(F.broadcast(labelled), "doc_id").persist()
     lexicon = None
     for level in range(len(TELLING)):
-        lexicon = _lexicon(training, subjects, lexicon, level)
-    labelled = training.where("labels is not null")
-    sources = sorted(r["source"] for r in labelled.groupBy("source").count().orderBy(F.desc("count"), "source").limit(100).collect() if r["source"])
+        rows = training if level < 2 else slim.where("text is not null").join(F.broadcast(labelled), "doc_id", "left")
+        lexicon = _lexicon(rows, subjects, lexicon, level)
+    sources = sorted(r["source"] for r in training.select("source").distinct().collect() if r["source"])
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(lexicon)
 
@@ -318,7 +327,7 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
             rows = [features(shipped.value, t, s, sources).tolist() for t, s in zip(batch["text"], batch["source"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "x": rows, "labels": batch["labels"]})
 
-    train = labelled.mapInPandas(measure, "doc_id long, x array<double>, labels array<int>").orderBy(*order).toPandas()
+    train = training.mapInPandas(measure, "doc_id long, x array<double>, labels array<int>").orderBy(*order).toPandas()
     training.unpersist()
     y = np.zeros((len(train), len(subjects)))
     for i, own in enumerate(train["labels"]):

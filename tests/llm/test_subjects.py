@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from logloom.llm.subjects import Chain, makeup, paragraphs, subjects_of
+from logloom.llm import subjects
+from logloom.llm.subjects import Chain, _lexicon, makeup, paragraphs, subjects_of
 from logloom.session import table
 
 DATA = "/root/testdata/sf0.1"
@@ -72,3 +73,22 @@ def test_odd_tables(spark):
     assert subjects_of(docs, labels.limit(0), areas).count() == 0
     assert subjects_of(docs.limit(0), labels, areas).count() == 0
     assert {r.subject: r.n_docs for r in makeup(subjects_of(docs, labels.limit(0), areas), docs, areas.where("subject is not null")).collect()} == {"law": 0, "physics": 0}
+
+
+def test_unlabelled_documents_count_at_any_size(spark, monkeypatch):
+    seen = []
+
+    def kept(*args):
+        seen.append(_lexicon(*args))
+        return seen[-1]
+
+    law, physics = "court judge statute contract verdict appeal", "quark boson lattice photon plasma neutron"
+    rows = [(i, "s", " ".join([law if i % 2 else physics, "" if i < 20 else "tribunal" if i % 2 else "hadron"]) + f" n{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    labels = spark.createDataFrame([(i, "law" if i % 2 else "physics") for i in range(20)], "doc_id long, subject string")
+    areas = spark.createDataFrame([("law",), ("physics",)], "subject string")
+    monkeypatch.setattr(subjects, "_lexicon", kept)
+    monkeypatch.setattr(subjects, "MAX_TRAINING", 20)  # as many as are labelled
+    got = subjects_of(docs, labels, areas)
+    assert {"tribunal", "hadron"} <= set(seen[-1].words)
+    assert {(r.doc_id, r.subject) for r in got.collect()} == {(i, "law" if i % 2 else "physics") for i in range(60)}
