@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import formal, similarity, tokens
 from logloom.operators import assembly, graph, miners, nextkey, quality, sequences
+from logloom.operators.ordering import positions
 from logloom.session import table
 
 QUERIES = {}
@@ -107,6 +108,12 @@ def token_tests(spark, sf_dir):
     return rows.select("token", tokens.has_digit(t).alias("digit"), tokens.has_special(t).alias("special"), tokens.has_special_tail(t).alias("special_tail"))
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``log_id, b, a``: tokens of each message but the first and of the one before it, whatever ids are missing."""
+    rows = positions(rendered(spark, sf_dir).select("log_id", F.col("tokens").alias("b")), "log_id")
+    return rows.join(rows.select((F.col("rn") + 1).alias("rn"), F.col("b").alias("a")), "rn").drop("rn")
+
+
 @query(f"""with {_LISTS}, pairs as (select log_id, l as b, lag(l) over (order by log_id) as a from lists)
     select log_id, case when len(list_distinct(list_concat(a, b))) > 0 then round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) end as jaccard,
         case when len(a) = len(b) then cast(len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> '*' and a[i] = b[i])) as integer) end as equal_positions,
@@ -114,11 +121,9 @@ def token_tests(spark, sf_dir):
         case when len(a) = len(b) then array_to_string(list_transform(range(1, len(a) + 1), lambda i: case when a[i] = b[i] then a[i] else '*' end), ' ') end as merged
     from pairs where a is not null""")
 def similarity_of_neighbours(spark, sf_dir):
-    rows = rendered(spark, sf_dir).select("log_id", F.col("tokens").alias("b"))
-    follow = rows.select((F.col("log_id") + 1).alias("log_id"), F.col("b").alias("a"))  # ids are consecutive
     a, b = F.col("a"), F.col("b")
     same = lambda c: F.when(F.size("a") == F.size("b"), c)
-    return rows.join(follow, "log_id").select(
+    return _neighbours(spark, sf_dir).select(
         "log_id", F.round(similarity.jaccard(a, b), 9).alias("jaccard"), same(similarity.equal_positions(a, b)).alias("equal_positions"),
         same(similarity.differing_positions(a, b)).alias("differing"), same(F.array_join(similarity.merged_template(a, b), " ")).alias("merged"),
     )
@@ -126,10 +131,8 @@ def similarity_of_neighbours(spark, sf_dir):
 
 @query()
 def lcs_of_neighbours(spark, sf_dir):
-    rows = rendered(spark, sf_dir).select("log_id", F.col("tokens").alias("b"))
-    both = rows.join(rows.select((F.col("log_id") + 1).alias("log_id"), F.col("b").alias("a")), "log_id")
     a, b = F.col("a"), F.col("b")
-    return both.select("log_id", similarity.lcs_length(a, b).alias("length"), F.array_join(similarity.lcs_tokens(a, b), " ").alias("common"), F.array_join(similarity.lcs_template(a, b), " ").alias("template"))
+    return _neighbours(spark, sf_dir).select("log_id", similarity.lcs_length(a, b).alias("length"), F.array_join(similarity.lcs_tokens(a, b), " ").alias("common"), F.array_join(similarity.lcs_template(a, b), " ").alias("template"))
 
 
 # ---- formalizer ---------------------------------------------------------------------------------

@@ -42,3 +42,13 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_neighbours_across_missing_ids(spark, tmp_path):
+    duck = duckdb.connect()
+    duck.sql(f"copy (select * from '{SF}/events.parquet' where event_id % 7 <> 3 and event_id < 100) to '{tmp_path}/events.parquet' (format parquet)")
+    duck.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = duck.sql(f"select log_id, jaccard, equal_positions, differing, merged from ({contract.oracle_sql()['similarity_of_neighbours']})").fetchall()
+    got = contract.queries()["similarity_of_neighbours"](spark, str(tmp_path)).select("log_id", "jaccard", "equal_positions", "differing", "merged").collect()
+    assert len(want) == 85 and _plain(got) == _plain(want)
+    assert sorted(r.log_id for r in contract.queries()["lcs_of_neighbours"](spark, str(tmp_path)).collect()) == sorted(r[0] for r in want)
