@@ -90,6 +90,9 @@ def _calendar(g: dict[str, str | None]) -> tuple[int, int | None] | None:
     return local, off
 
 
+DAY_US = 86_400_000_000
+
+
 @lru_cache(1024)
 def _zone(tz: str) -> ZoneInfo | None:
     try:
@@ -98,6 +101,11 @@ def _zone(tz: str) -> ZoneInfo | None:
         return None
 
 
+def zone_exists(tz: str | None) -> bool:
+    """Whether there is a zone of that name."""
+    return bool(tz) and _zone(tz) is not None
+
+
 def wall_to_utc(local_us: int, tz: str | None) -> int | None:
     """The one instant at which a clock of zone ``tz`` showed ``local_us``.
 
@@ -117,6 +125,14 @@ def wall_to_utc(local_us: int, tz: str | None) -> int | None:
     return local_us - (first.days * 86_400 + first.seconds) * 1_000_000
 
 
+@lru_cache(1_000_000)
+def day_offset(day: int, tz: str) -> int | None:
+    """Microseconds that a clock of zone ``tz`` is ahead of UTC on a day of its own; None where that changes or isn't known."""
+    first, last = day * DAY_US, (day + 1) * DAY_US - 1
+    starts, ends = wall_to_utc(first, tz), wall_to_utc(last, tz)
+    return None if starts is None or ends is None or first - starts != last - ends else first - starts
+
+
 def _instant(read: tuple[int, int | None] | None, tz: str | None) -> int | None:
     if read is None:
         return None

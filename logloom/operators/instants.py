@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from zoneinfo import available_timezones
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.functions.instants import header_stamp, read_instant, walls_to_utc
+from logloom.functions.instants import DAY_US, day_offset, header_stamp, read_instant, wall_to_utc, walls_to_utc, zone_exists
 
 
 def _catalog(zones: DataFrame) -> DataFrame:
@@ -33,22 +38,52 @@ def estimated_zones(rows: DataFrame, zones: DataFrame, bucket_rows: int = 32, to
     """Zones of the nodes the catalog lacks: ``(__node, __tz, n, violations)``.
 
     The arrival clock of each stretch of ``bucket_rows`` log ids is the median of its known instants.
-    A candidate zone is an offset history; a stamp violates it if, read by it, it denotes no instant or
-    one further than ``tolerance_s`` from the arrival clock. Each node gets the candidate with fewest
-    violations (then by name), provided that fewer than half of its stamps violate it.
-    Only per-stretch medians and per-node counts are shuffled.
+    The candidates are all IANA zones, listed for other nodes or not; a stamp violates one if, read by it,
+    it denotes no instant or one further than ``tolerance_s`` from the arrival clock. Each node gets the
+    candidate with fewest violations, then with the least distance of its other stamps from the arrival
+    clock, provided that fewer than half of its stamps violate it. Zones alike in all that had the same
+    offsets at the stamps: one listed for another node is preferred, then the first by name.
+    Per-stretch medians, the stamps of these nodes and per-node counts are shuffled.
     """
     bucket = F.floor(F.col("log_id") / bucket_rows)
     clock = rows.select(bucket.alias("_k"), F.col("__x")["utc"].alias("u")).groupBy("_k").agg(F.percentile_approx("u", 0.5).alias("_clock"))
     unknown = rows.where("__tz is null and ip is not null").select("ip", bucket.alias("_k"), F.col("__x")["local"].alias("_l")).where("_l is not null")
-    names = _catalog(zones).select(F.collect_set("__tz").alias("_zs"))  # at most as many as there are IANA zones
-    read = unknown.join(clock, "_k").join(F.broadcast(names)).select("ip", "_l", "_clock", F.explode("_zs").alias("_z"))
-    off = F.abs(F.col("_u") - F.col("_clock")) <= tolerance_s * 1_000_000
-    votes = read.withColumn("_u", walls_to_utc(F.col("_l"), F.col("_z"))).groupBy("ip", "_z").agg(F.count("*").alias("n"), F.sum(F.when(off, 0).otherwise(1)).alias("violations"))
-    best = votes.withColumn("_r", F.row_number().over(W.partitionBy("ip").orderBy("violations", "_z")))
+    listed = sorted(r["__tz"] for r in _catalog(zones).select("__tz").distinct().collect() if zone_exists(r["__tz"]))
+    candidates = sorted({*available_timezones(), *listed} - ({"Factory", "localtime"} - set(listed)))
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _zone_votes(batch, candidates, tolerance_s * 1_000_000)
+
+    cast = unknown.join(clock, "_k").select("ip", "_l", "_clock").mapInPandas(votes, "ip string, _z string, n long, hits long, far long")
+    counts = cast.groupBy("ip", "_z").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("far").alias("far"))
+    each = counts.withColumn("n", F.sum("n").over(W.partitionBy("ip"))).where("_z is not null").withColumn("violations", F.col("n") - F.col("hits"))
+    best = each.withColumn("_r", F.row_number().over(W.partitionBy("ip").orderBy("violations", "far", ~F.col("_z").isin(listed), "_z")))
     return best.where("_r = 1 and violations * 2 < n").select(F.col("ip").alias("__node"), F.col("_z").alias("__tz"), "n", "violations")
 
 
+def _zone_votes(rows: pd.DataFrame, candidates: list[str], tolerance_us: int) -> pd.DataFrame:
+    """``ip, _z, n, hits, far``: per node its stamps (zone null), and per zone those within the tolerance and their distances' sum."""
+    node, ips = pd.factorize(rows["ip"])
+    local, clock = rows["_l"].to_numpy(np.int64), rows["_clock"].to_numpy(float)
+    days, at = np.unique(local // DAY_US, return_inverse=True)
+    total = np.bincount(node, minlength=len(ips))
+    out = [(ip, None, int(n), 0, 0) for ip, n in zip(ips, total, strict=True)]
+    for zone in candidates:
+        offsets = [day_offset(int(d), zone) for d in days]
+        utc = local - np.array([np.nan if o is None else o for o in offsets])[at]
+        for i in np.flatnonzero(np.isnan(utc)):  # the clock was set on that day
+            exact = wall_to_utc(int(local[i]), zone)
+            utc[i] = np.nan if exact is None else exact
+        far = np.abs(utc - clock)
+        near = far <= tolerance_us
+        if near.any():
+            hits = np.bincount(node[near], minlength=len(ips))
+            gaps = np.bincount(node[near], far[near], minlength=len(ips))
+            out += [(ips[i], zone, 0, int(hits[i]), int(gaps[i])) for i in np.flatnonzero(hits)]
+    return pd.DataFrame(out, columns=["ip", "_z", "n", "hits", "far"])
+
+
 def instants(log: DataFrame, zones: DataFrame, estimate: bool = True) -> DataFrame:
     """``log`` with ``utc_us`` (microseconds since 1970-01-01 UTC) and ``basis``.
 

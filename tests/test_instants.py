@@ -1,11 +1,13 @@
 """Stamps and instants against brute force, and the cases that must not crash."""
 
 import re
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.functions.instants import HEADER_STAMP, stamp, wall_to_utc
+from logloom.functions.instants import DAY_US, HEADER_STAMP, day_offset, stamp, wall_to_utc
 from logloom.operators.instants import estimated_zones, instants, stamped
 from logloom.session import table
 
@@ -66,6 +68,28 @@ def test_estimated_zone(spark):
     assert got[1] == (T - 7_200_000_000 + 60_000_000, "estimated")
 
 
+def test_estimated_zone_that_no_node_is_listed_in(spark):
+    shown = {"p": -3 * 60, "k": 5 * 60 + 45}  # minutes ahead of UTC; only Kolkata, 15 minutes off the second, is listed
+    noon = datetime(2018, 10, 9, 12)
+    rows = [(i, f"{noon + timedelta(minutes=i)}Z", "z", "") for i in range(0, 120, 2)]
+    for i in range(1, 120, 2):
+        node = "pk"[i // 2 % 2]
+        rows.append((i, str(noon + timedelta(minutes=i + shown[node])), node, ""))
+    log = spark.createDataFrame(rows, "log_id long, time string, ip string, log_txt string")
+    zones = spark.createDataFrame([("other", "Europe/Berlin"), ("third", "Asia/Kolkata")], "ip string, tz string")
+    found = {r["__node"]: r for r in estimated_zones(stamped(log, zones), zones).collect()}
+    assert {k: ZoneInfo(r["__tz"]).utcoffset(noon) for k, r in found.items()} == {k: timedelta(minutes=m) for k, m in shown.items()}
+    assert [(found[k]["n"], found[k]["violations"]) for k in "pk"] == [(30, 0)] * 2
+    got = {r["log_id"]: r["utc_us"] for r in instants(log, zones).collect()}
+    assert got == {i: T + i * 60_000_000 for i in range(120)}
+
+
+def test_day_offset():
+    october = 1_540_684_800_000_000 // DAY_US  # 2018-10-28, when the clock was set back in Berlin
+    assert [day_offset(october + d, "Europe/Berlin") for d in (-1, 0, 1)] == [7_200_000_000, None, 3_600_000_000]
+    assert day_offset(october, "UTC") == 0 and day_offset(october, "No/Where") is None and day_offset(10**9, "UTC") is None
+
+
 def test_odd_rows(spark):
     schema = "log_id long, time string, ip string, log_txt string, basis string, tz string, utc_us long, n int"
     rows = [(1, None, None, None, "x", "y", 5, 1), (2, "", "ip", "", "x", None, None, None), (2, "", "ip", "", "x", None, None, None), (3, "2018-10-09T12:00:00Z", None, "x" * 2_000_000, None, None, None, None)]
