@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logloom.session import staged
 
 #: Rows of one key that one chunk holds at most.
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 16_384
 
 
 def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,17 +37,20 @@ def key_figures(rows: DataFrame, keys: list[str], instant: str, label: str, chun
     """Per key: ``n_rows, first_us, last_us, n_labels`` (distinct non-null values of ``label``).
 
     Each key's rows are cut into chunks of exactly ``chunk_rows`` (the last may be shorter); a chunk is
-    one state (rows, first, last, labels), and the ordered states of a key are merged. Null instants and
+    one state (rows, first, last by label), and the ordered states of a key are merged. Null instants and
     labels count as rows but give no instant and no label; a key without any has null instants and 0
     labels. Null keys form a group of their own. An empty table gives no rows.
     """
     slim = rows.select(*keys, F.col(instant).alias("_t"), F.col(label).alias("_l"))
     chunked = numbered(slim, keys).withColumn("_chunk", F.floor(F.col("_n") / chunk_rows))
-    states = chunked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_rows"), F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.collect_set("_l").alias("_set"))
-    # at most rows / chunk_rows states of a key remain
-    return states.groupBy(*keys).agg(
+    # the state of a chunk: its rows and bounds by label; a key has at most rows / chunk_rows chunks
+    bounds = [F.min("_first").alias("_first"), F.max("_last").alias("_last")]
+    states = chunked.groupBy(*keys, "_chunk", "_l").agg(F.count("*").alias("_rows"), F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    # states of one label are merged first, so no key's labels are ever gathered in one value
+    merged = states.groupBy(*keys, "_l").agg(F.sum("_rows").alias("_rows"), *bounds, F.max("_chunk").alias("_chunk"))
+    return merged.groupBy(*keys).agg(
         F.sum("_rows").alias("n_rows"), F.min("_first").alias("first_us"), F.max("_last").alias("last_us"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("_set")))).cast("long").alias("n_labels"), F.count("*").alias("n_chunks"),
+        F.count("_l").alias("n_labels"), (F.max("_chunk") + 1).alias("n_chunks"),
     )
 
 
