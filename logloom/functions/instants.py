@@ -1,19 +1,20 @@
-"""Reading time stamps of many notations: a batch function behind one Arrow UDF, plus column helpers."""
+"""Reading time stamps of many notations and zones: Arrow kernels over whole batches behind two UDFs, and column helpers."""
 
 from __future__ import annotations
 
-import re
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Zone abbreviations and names of UTC with their hours; months; what spellings of levels mean.
-ZONE_HOURS = {"": None, "Z": 0, "UTC": 0, "GMT": 0, "CET": 1, "CEST": 2, "EST": -5, "EDT": -4}
+ZONE_HOURS = {"Z": 0, "UTC": 0, "GMT": 0, "CET": 1, "CEST": 2, "EST": -5, "EDT": -4}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 LEVELS = {
     "TRACE": ["TRACE", "TRC"],
@@ -24,12 +25,13 @@ LEVELS = {
     "FATAL": ["FATAL", "CRIT", "CRITICAL", "F", "C", "FTL", "EMERG"],
 }
 
+DAY_US = 86_400_000_000
 _CLOCK = r"(?P<h>\d{1,2}):(?P<mi>\d{2}):(?P<s>\d{2})(?:[.,](?P<f>\d+))?"
 _ZONE = r"(?:\s*(?P<z>[A-Za-z]{1,5}))?\s*(?P<o>[+-]\d{2}:?\d{2})?\s*"
 _NAME = r"(?P<m>Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 #: The notations of a calendar stamp; a stamp without year matches none.
 NOTATIONS = [
-    re.compile(p, re.IGNORECASE | re.ASCII)
+    rf"(?i)^{p}$"
     for p in (
         r"\s*(?P<y>\d{4})[-/](?P<m>\d{1,2})[-/](?P<d>\d{1,2})[T ]\s*" + _CLOCK + _ZONE,
         r"\s*(?P<d>\d{2})\.(?P<m>\d{2})\.(?P<y>\d{4})[T ]\s*" + _CLOCK + _ZONE,
@@ -39,8 +41,9 @@ NOTATIONS = [
     )
 ]
 #: Counts from the epoch by number of digits: 9-10 s, 12-13 ms, 15-16 us, 18-19 ns.
-_COUNT = re.compile(r"\s*(\d{9,10}|\d{12,13}|\d{15,16}|\d{18,19})(?:[.,](\d+))?\s*", re.ASCII)
+COUNT = r"^\s*(?P<n>\d{9,10}|\d{12,13}|\d{15,16}|\d{18,19})(?:[.,](?P<f>\d+))?\s*$"
 _EPOCH = datetime(1970, 1, 1)
+_NONE = np.iinfo(np.int64).min
 
 #: The stamp in the header of the entry that starts a field.
 HEADER_STAMP = (
@@ -49,48 +52,82 @@ HEADER_STAMP = (
 )
 
 
-def stamp(text: str | None) -> tuple[int, int | None] | None:
-    """``(local_us, off_us)`` of a stamp, or None where the text is none.
+def header_stamp(log_txt: Column) -> Column:
+    """The text of the stamp in the header that starts ``log_txt``; '' where there is none."""
+    return F.regexp_extract(log_txt, HEADER_STAMP, 1)
+
+
+def _ints(text: pa.Array) -> np.ndarray:
+    return pc.cast(text, pa.int64()).to_numpy(zero_copy_only=False)
+
 
-    ``local_us`` counts microseconds of the stamp's own clock since 1970-01-01; ``off_us`` is that
-    clock's distance from UTC, None if the stamp names no zone. Missing digits are 0, digits beyond
-    microseconds are dropped. An unknown zone name or a date that doesn't exist makes it no stamp.
+def _micros(digits: pa.Array) -> np.ndarray:
+    """Microseconds of the digits after the decimal mark: missing ones are 0, further ones are dropped."""
+    return _ints(pc.utf8_rpad(pc.utf8_slice_codeunits(digits, 0, 6), 6, "0"))
+
+
+def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Days since 1970-01-01 of dates that exist."""
+    return ((y - 1970) * 12 + m - 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64) + d - 1
+
+
+def stamps(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(local, off)`` of every text, in microseconds; the least integer stands for none.
+
+    ``local`` counts microseconds of the stamp's own clock since 1970-01-01; ``off`` is that clock's distance
+    from UTC, none if the stamp names no zone. Missing digits are 0, digits beyond microseconds are dropped. An
+    unknown zone name or a date that doesn't exist makes it no stamp.
     """
-    if not text:
-        return None
-    if c := _COUNT.fullmatch(text):
-        lead = 9 + len(c[1]) % 3 % 2  # 9 or 10 digits are whole seconds
-        digits = c[1] + (c[2] or "")
-        return int(digits[:lead]) * 1_000_000 + int(digits[lead : lead + 6].ljust(6, "0")), 0
-    for notation in NOTATIONS:
-        if hit := notation.fullmatch(text):
-            return _calendar(hit.groupdict())
-    return None
-
-
-def _calendar(g: dict[str, str | None]) -> tuple[int, int | None] | None:
-    hour = int(g["h"])
-    if half := g.get("p"):
-        if not 1 <= hour <= 12:
-            return None
-        hour = hour % 12 + 12 * (half.upper() == "PM")
-    name = (g["z"] or "").upper()
-    if name not in ZONE_HOURS:
-        return None
-    try:
-        month = int(g["m"]) if g["m"].isdigit() else MONTHS.index(g["m"][:3].lower()) + 1
-        gap = datetime(int(g["y"]), month, int(g["d"]), hour, int(g["mi"]), int(g["s"])) - _EPOCH
-    except ValueError:
-        return None
-    local = (gap.days * 86_400 + gap.seconds) * 1_000_000 + int((g["f"] or "")[:6].ljust(6, "0"))
-    hours = ZONE_HOURS[name]
-    off = None if hours is None else hours * 3_600_000_000
-    if o := g["o"]:
-        off = (int(o[1:3]) * 60 + int(o[-2:])) * 60_000_000 * (-1 if o[0] == "-" else 1)
+    local, off = np.full(len(text), _NONE), np.full(len(text), _NONE)
+    rest = np.flatnonzero(pc.is_valid(text).to_numpy(zero_copy_only=False))
+    for k, notation in enumerate([NOTATIONS[0], COUNT, *NOTATIONS[1:]]):
+        if not len(rest):
+            break
+        found = pc.extract_regex(text.take(pa.array(rest)), notation)
+        hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        at, rest = rest[hit], rest[~hit]
+        if len(at):
+            parts = found.filter(pa.array(hit))
+            local[at], off[at] = _counted(parts) if k == 1 else _calendar(parts)
     return local, off
 
 
-DAY_US = 86_400_000_000
+def _counted(parts: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    whole = parts.field("n")
+    digits = pc.binary_join_element_wise(whole, parts.field("f"), "")
+    long = pc.utf8_length(whole).to_numpy(zero_copy_only=False) % 3 == 1  # 9 or 10 digits are whole seconds
+    lead = np.where(long, _ints(pc.utf8_slice_codeunits(digits, 0, 10)), _ints(pc.utf8_slice_codeunits(digits, 0, 9)))
+    tail = np.where(long, _micros(pc.utf8_slice_codeunits(digits, 10)), _micros(pc.utf8_slice_codeunits(digits, 9)))
+    return lead * 1_000_000 + tail, np.zeros(len(parts), np.int64)
+
+
+def _calendar(parts: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    names = [f.name for f in parts.type]
+    get = lambda x: parts.field(names.index(x))
+    y, d, h, mi, s = (_ints(get(x)) for x in ("y", "d", "h", "mi", "s"))
+    if pc.all(pc.utf8_is_digit(get("m"))).as_py():
+        m = _ints(get("m"))
+    else:
+        m = pc.index_in(pc.utf8_lower(pc.utf8_slice_codeunits(get("m"), 0, 3)), pa.array(MONTHS)).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ok = np.ones(len(y), bool)
+    if "p" in names:
+        ok &= (h >= 1) & (h <= 12)
+        h = h % 12 + 12 * pc.equal(pc.utf8_upper(get("p")), "PM").to_numpy(zero_copy_only=False)
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    most = np.where(np.isin(m, (4, 6, 9, 11)), 30, np.where(m == 2, 28 + leap, 31))
+    ok &= (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1) & (d <= most) & (h <= 23) & (mi <= 59) & (s <= 59)
+    zone = pc.fill_null(pc.index_in(pc.utf8_upper(get("z")), pa.array(["", *ZONE_HOURS])), -1).to_numpy(zero_copy_only=False)
+    ok &= zone >= 0
+    off = np.array([_NONE, *(x * 3_600_000_000 for x in ZONE_HOURS.values())])[np.maximum(zone, 0)]
+    written = pc.greater(pc.utf8_length(get("o")), 0).to_numpy(zero_copy_only=False)
+    if written.any():
+        o = pc.if_else(pa.array(written), get("o"), "+0000")
+        digits = _ints(pc.replace_substring(pc.utf8_slice_codeunits(o, 1), ":", ""))
+        minutes = (digits // 100 * 60 + digits % 100) * np.where(pc.starts_with(o, "-").to_numpy(zero_copy_only=False), -1, 1)
+        off = np.where(written, minutes * 60_000_000, off)
+    local = np.full(len(y), _NONE)
+    local[ok] = ((_days(y[ok], m[ok], d[ok]) * 86_400 + h[ok] * 3600 + mi[ok] * 60 + s[ok]) * 1_000_000) + _micros(get("f").filter(pa.array(ok)))
+    return local, np.where(ok, off, _NONE)
 
 
 @lru_cache(1024)
@@ -114,9 +151,8 @@ def wall_to_utc(local_us: int, tz: str | None) -> int | None:
     """
     if not tz or (zone := _zone(tz)) is None:
         return None
-    seconds = local_us // 1_000_000
     try:
-        wall = datetime(1970, 1, 1).fromordinal(719_163 + seconds // 86_400).replace(hour=seconds % 86_400 // 3600, minute=seconds % 3600 // 60, second=seconds % 60)
+        wall = _EPOCH + timedelta(seconds=local_us // 1_000_000)
     except (ValueError, OverflowError):
         return None
     first, second = zone.utcoffset(wall), zone.utcoffset(wall.replace(fold=1))
@@ -133,43 +169,57 @@ def day_offset(day: int, tz: str) -> int | None:
     return None if starts is None or ends is None or first - starts != last - ends else first - starts
 
 
-def _instant(read: tuple[int, int | None] | None, tz: str | None) -> int | None:
-    if read is None:
-        return None
-    return read[0] - read[1] if read[1] is not None else wall_to_utc(read[0], tz)
+def walls(local: np.ndarray, tz: pa.Array) -> np.ndarray:
+    """``wall_to_utc`` of whole arrays: one look at the zone's history per zone and day, rows of days with a change one by one."""
+    out = np.full(len(local), _NONE)
+    coded = tz.dictionary_encode()
+    code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.flatnonzero((local != _NONE) & (code >= 0))
+    if not len(at):
+        return out
+    names = coded.dictionary.to_pylist()
+    day = local[at] // DAY_US
+    pairs, back = np.unique(np.stack([code[at], day]), axis=1, return_inverse=True)
+    offsets = [day_offset(int(d), names[c]) for c, d in pairs.T]
+    known = np.array([_NONE if o is None else o for o in offsets])[back.ravel()]
+    out[at] = np.where(known != _NONE, local[at] - known, _NONE)
+    for i in at[known == _NONE]:
+        exact = wall_to_utc(int(local[i]), names[code[i]])
+        if exact is not None:
+            out[i] = exact
+    return out
+
 
+def _nullable(values: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.int64(), mask=values == _NONE)
 
-_OUT = pa.struct([("utc", pa.int64()), ("basis", pa.string()), ("local", pa.int64())])
 
+def _text(array: pa.Array) -> pa.Array:
+    return array.cast(pa.string()) if not pa.types.is_string(array.type) else array
 
-def _read(time: pa.Array, header: pa.Array, tz: pa.Array) -> pa.Array:
-    utc, basis, local = [], [], []
-    for text, head, zone in zip(time.to_pylist(), header.to_pylist(), tz.to_pylist(), strict=True):
-        read = stamp(text)
-        at = _instant(read, zone)
-        if at is None and head:
-            other = stamp(head)
-            at = _instant(other, zone)
-            read = other if at is not None or read is None else read
-        utc.append(at)
-        basis.append(None if at is None else "catalog" if read[1] is None else "absolute")
-        local.append(read[0] if at is None and read else None)
-    return pa.StructArray.from_arrays([pa.array(utc, pa.int64()), pa.array(basis, pa.string()), pa.array(local, pa.int64())], fields=list(_OUT))
+
+def _read(text: pa.Array, tz: pa.Array) -> pa.Array:
+    local, off = stamps(_text(text))
+    named = off != _NONE
+    at = walls(np.where(named, _NONE, local), _text(tz))
+    utc = np.where(named & (local != _NONE), local - np.where(named, off, 0), at)
+    return pa.StructArray.from_arrays([_nullable(utc), pa.array(named), _nullable(local)], names=["utc", "named", "local"])
 
 
 def _walls(local: pa.Array, tz: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else wall_to_utc(x, z) for x, z in zip(local.to_pylist(), tz.to_pylist(), strict=True)], pa.int64())
+    return _nullable(walls(pc.fill_null(local, _NONE).to_numpy(zero_copy_only=False), _text(tz)))
 
 
-_STRUCT = T.StructType([T.StructField("utc", T.LongType()), T.StructField("basis", T.StringType()), T.StructField("local", T.LongType())])
+_STRUCT = T.StructType([T.StructField("utc", T.LongType()), T.StructField("named", T.BooleanType()), T.StructField("local", T.LongType())])
 
 
-def read_instant(time: Column, header: Column, tz: Column) -> Column:
-    """``struct<utc, basis, local>`` of a row, see ``operators.instants.stamped``.
+def read_stamp(text: Column, tz: Column) -> Column:
+    """``struct<utc, named, local>`` of a stamp: its instant, whether it names its zone, and its clock.
 
-    Declared non-deterministic so that the optimizer neither copies it into filters nor runs it twice.
+    A stamp without zone is the wall clock of zone ``tz``. Declared non-deterministic so that the optimizer
+    neither copies it into filters nor runs it twice.
     """
-    return F.arrow_udf(_read, _STRUCT).asNondeterministic()(time, header, tz)
+    return F.arrow_udf(_read, _STRUCT).asNondeterministic()(text, tz)
 
 
 def walls_to_utc(local: Column, tz: Column) -> Column:
@@ -177,11 +227,6 @@ def walls_to_utc(local: Column, tz: Column) -> Column:
     return F.arrow_udf(_walls, T.LongType()).asNondeterministic()(local, tz)
 
 
-def header_stamp(log_txt: Column) -> Column:
-    """The text of the stamp in the header that starts ``log_txt``; '' where there is none."""
-    return F.regexp_extract(log_txt, HEADER_STAMP, 1)
-
-
 def level_name(text: Column) -> Column:
     """TRACE, DEBUG, INFO, WARN, ERROR or FATAL of a level in whatever spelling; null for others."""
     up, out = F.upper(F.trim(text)), None
