@@ -14,6 +14,8 @@ from logloom.session import staged
 
 #: Features with at least this share of all are looked up in a broadcast table, which so has at most 1 / share rows.
 POPULAR_SHARE = 1 / 20_000
+#: Texts of one block that one task compares with all of the block.
+BLOCK_ROWS = 1024
 
 
 def _fingerprint(text: str) -> list[int]:
@@ -46,8 +48,8 @@ def fingerprints(records: DataFrame, min_words: int) -> DataFrame:
 def similar_classes(records: DataFrame, threshold: float = 0.75, min_words: int = 60) -> tuple[DataFrame, DataFrame]:
     """Classes of records with the same words, and the pairs of classes that are nearly the same.
 
-    Returns ``members(grp, rep, log_id)`` and ``pairs(grp, a, b, distance)``, ``a < b`` representatives
-    (smallest ``log_id`` of a class). Similarity is words in common over words of the union, both with
+    Returns ``members(grp, rep, log_id)`` and ``pairs(grp, a, b, distance, similarity)``, ``a < b`` representatives
+    (smallest ``log_id`` of a class), with ``distance`` and ``similarity``. Similarity is words in common over words of the union, both with
     repetition; only records of the same ``grp`` are compared.
 
     A fingerprint is the set of a text's words, the k-th use of a word being a position of its own; two
@@ -76,22 +78,26 @@ def similar_classes(records: DataFrame, threshold: float = 0.75, min_words: int
     own = F.col("n") - F.size("s")
     places = ranked.withColumn("own", own).withColumn("kept", F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1 - F.col("own")).where("kept > 0")
     blocks = places.select("grp", "rep", "n", "own", F.posexplode(F.slice("s", F.lit(1), F.col("kept"))).alias("i", "x")).select("grp", "rep", "n", (F.col("own") + F.col("i")).alias("place"), F.col("x.bit").alias("bit"))
-    blocks = staged(blocks, "blocks")
-    left, right = [blocks.select("grp", "bit", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "place")]) for x in "ab"]
+    # a block of many texts is cut into stretches of BLOCK_ROWS, each of which meets all of them in a task of its own
+    sizes = blocks.groupBy("grp", "bit").agg(F.count("*").alias("_held")).where(F.col("_held") > BLOCK_ROWS).withColumn("cuts", F.ceil(F.col("_held") / BLOCK_ROWS).cast("int"))
+    blocks = staged(blocks.join(sizes.select("grp", "bit", "cuts"), ["grp", "bit"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))), "blocks")
+    left, right = [blocks.select("grp", "bit", "cuts", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "place")]) for x in "ab"]
+    left = left.withColumn("cut", F.pmod(F.xxhash64("rep_a"), F.col("cuts")).cast("int")).drop("cuts")
+    right = right.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
     need = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     # at the first shared position at most the rest of both texts can be common
     fits = (F.col("rep_a") < F.col("rep_b")) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    candidates = left.join(right, ["grp", "bit"]).where(fits).select("grp", F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    candidates = left.join(right, ["grp", "bit", "cut"]).where(fits).select("grp", F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     one, two = [reps.select("grp", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
     both = candidates.join(one, ["grp", "a"]).join(two, ["grp", "b"])
     common = F.size(F.array_intersect("bitsa", "bitsb"))
     measured = both.select("grp", "a", "b", (F.col("na") + F.col("nb")).alias("n"), common.alias("common"))
     near = measured.where(F.col("common") >= threshold * (F.col("n") - F.col("common")))
-    return members, near.select("grp", "a", "b", (F.col("n") - 2 * F.col("common")).alias("distance"))
+    return members, near.select("grp", "a", "b", (F.col("n") - 2 * F.col("common")).alias("distance"), (F.col("common") / (F.col("n") - F.col("common"))).alias("similarity"))
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.75, min_words: int = 60) -> DataFrame:
-    """``grp, log_id_a, log_id_b``: all pairs of records that are nearly the same, see ``similar_classes``.
+def similar_pairs(records: DataFrame, threshold: float = 0.75, min_words: int = 60, with_similarity: bool = False) -> DataFrame:
+    """``grp, log_id_a, log_id_b`` and, if asked for, ``similarity``: all pairs of records that are nearly the same, see ``similar_classes``.
 
     ``records`` has ``grp, log_id, text``. Null and short texts are in no pair; records with the same words
     are. This expands classes into rows, so the result is as large as it is asked to be.
@@ -99,9 +105,10 @@ def similar_pairs(records: DataFrame, threshold: float = 0.75, min_words: int =
     members, near = similar_classes(records, threshold, min_words)
     members = staged(members, "members")
     a, b = [members.select("grp", F.col("rep").alias(x), F.col("log_id").alias(f"id_{x}")) for x in "ab"]
-    across = near.join(a, ["grp", "a"]).join(b, ["grp", "b"]).select("grp", "id_a", "id_b")
+    across = near.join(a, ["grp", "a"]).join(b, ["grp", "b"]).select("grp", "id_a", "id_b", "similarity")
     # classes of one record have no pairs of their own
     many = members.withColumn("_n", F.count("*").over(W.partitionBy("grp", "rep"))).where("_n > 1")
     x, y = [many.select("grp", "rep", F.col("log_id").alias(f"id_{s}")) for s in "ab"]
-    within = x.join(y, ["grp", "rep"]).where("id_a < id_b").select("grp", "id_a", "id_b")
-    return across.unionByName(within).select("grp", F.least("id_a", "id_b").alias("log_id_a"), F.greatest("id_a", "id_b").alias("log_id_b"))
+    within = x.join(y, ["grp", "rep"]).where("id_a < id_b").select("grp", "id_a", "id_b", F.lit(1.0).alias("similarity"))
+    columns = ["grp", F.least("id_a", "id_b").alias("log_id_a"), F.greatest("id_a", "id_b").alias("log_id_b")]
+    return across.unionByName(within).select(*columns, *(["similarity"] if with_similarity else []))

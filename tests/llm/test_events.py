@@ -2,12 +2,12 @@
 
 import random
 from collections import Counter, defaultdict
+from itertools import groupby
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm.runs import PENALTY, _cuts, same_events, segments, without_redelivered
+from logloom.llm.runs import STRICT, UNIT, Segmentation, near_events, same_events, segmented, segments, without_redelivered
 from logloom.llm.subsequences import frequent_triples
 
 
@@ -44,25 +44,93 @@ def test_runs(spark, parts):
     assert len(got) == len(_brute_runs(rows))
 
 
-def test_cuts_are_optimal():
-    r = random.Random(3)
-    for _ in range(60):
-        code = np.array([r.randrange(3) for _ in range(r.randrange(1, 9))])
-        near = {(0, 1): r.choice([0.2, 0.45, 0.7]), (1, 2): 0.3}
+def _least(events, near, penalty):
+    """Least cost over all segmentations, each run with its best representative."""
+
+    def run(a, b):
+        shared = set.intersection(*(set(near[e]) for e in events[a:b]))
+        return min((sum(near[e][m] for e in events[a:b]) for m in shared), default=None)
+
+    best = [0] + [None] * len(events)
+    for b in range(1, len(events) + 1):
+        best[b] = min(best[a] + c + (penalty if a else 0) for a in range(b) if (c := run(a, b)) is not None)
+    return best[-1]
+
+
+def _cost(path, events, near, penalty):
+    return sum(near[e][m] for e, m in zip(events, path, strict=True)) + penalty * (len(list(groupby(path))) - 1)
+
 
-        def cost(starts, code=code, near=near):
-            d = [0.0 if a == b else near.get((min(a, b), max(a, b)), 1.0) for a, b in zip(code[:-1].tolist(), code[1:].tolist(), strict=True)]
-            return PENALTY * (len(starts) - 1) + sum(x for i, x in enumerate(d, 1) if i not in starts)
+def _some_near(r, n=7):
+    near = {e: {e: 0} for e in range(n)}
+    for a in range(n):
+        for b in range(a):
+            if r.random() < 0.35:
+                near[a][b] = near[b][a] = r.randrange(100_000, 900_000)
+    return near
 
-        every = [[0, *[i for i in range(1, len(code)) if m >> (i - 1) & 1]] for m in range(1 << (len(code) - 1))]
-        assert abs(cost(_cuts(code, near, PENALTY).tolist()) - min(map(cost, every))) < 1e-9
+
+def test_segmentation_is_optimal():
+    r = random.Random(3)
+    by_neighbours = 0
+    for _ in range(300):
+        near, penalty = _some_near(r), r.choice([1, 200_000, 500_000, 900_000])
+        events = [r.randrange(7) for _ in range(r.randrange(1, 40))]
+        path = segmented(Segmentation(near, penalty), [(e, len(list(g))) for e, g in groupby(events)])
+        whole = [m for m, (_, g) in zip(path, groupby(events), strict=True) for _ in g]
+        assert _cost(whole, events, near, penalty) == _least(events, near, penalty)
+        cuts = [a != b for a, b in zip(whole, whole[1:], strict=False)]
+        by_neighbours += cuts != [near[a].get(b, UNIT) > penalty for a, b in zip(events, events[1:], strict=False)]
+    assert by_neighbours > 100  # cutting where neighbours differ by more than the penalty is another thing
+
+
+def test_chain_is_cut_at_the_best_place():
+    # 0 is near 1 and 1 is near 2, but 0 and 2 aren't near: a run of all three stands for 1 or it is cut
+    near = {0: {0: 0, 1: 300_000}, 1: {0: 300_000, 1: 0, 2: 200_000}, 2: {1: 200_000, 2: 0}}
+    dp = Segmentation(near, 500_000)
+    assert segmented(dp, [(0, 1), (1, 1), (2, 1)]) == [1, 1, 1]
+    assert segmented(dp, [(0, 5), (1, 1), (2, 9)]) == [0, 2, 2]
+    assert segmented(dp, [(0, 5), (1, 1), (2, 1)]) == [0, 1, 1]
+
+
+def _listed(spark, near):
+    rows = [(e, [{"event": m, "d": d} for m, d in own.items()]) for e, own in near.items()]
+    return spark.createDataFrame(rows, "event_id long, near array<struct<event:bigint,d:bigint>>")
+
+
+@pytest.mark.parametrize("parts", ["1", "5", "16"])
+def test_near_runs_over_tasks(spark, parts):
+    r = random.Random(int(parts))
+    near = _some_near(r)
+    # one entity holds two thirds of the rows, and few rows make a block that spans several tasks
+    rows = [(0 if r.random() < 0.67 else r.randrange(4), min(r.randrange(7), r.randrange(7)), i, i) for i in range(600)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    for penalty in (0.5, 0.2, STRICT):
+        got = segments(spark.createDataFrame(rows, "e long, v long, t long, log_id long"), "e", "v", "t", _listed(spark, near), penalty).collect()
+        by = defaultdict(list)
+        for x in sorted(got, key=lambda x: (x.entity, x.first_us)):
+            by[x.entity].append(x)
+        for e, runs in by.items():
+            own = [(v, i) for w, v, _, i in rows if w == e]
+            assert [x.n for x in runs] == [sum(x.first_log_id <= i <= x.last_log_id for _, i in own) for x in runs] and sum(x.n for x in runs) == len(own)
+            assert all(a.event != b.event for a, b in zip(runs, runs[1:], strict=False))
+            path = [x.event for x in runs for _ in range(x.n)]
+            cents = round(penalty * UNIT)
+            assert _cost(path, [v for v, _ in own], near, cents) == _least([v for v, _ in own], near, cents)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_near_events_join_over_tasks(spark):
-    rows = [(1, i % 2, i, i) for i in range(200)]
-    near = spark.createDataFrame([(0, 1, 0.2)], "a long, b long, dissimilarity double")
-    got = segments(spark.createDataFrame(rows, "e long, v long, t long, log_id long").repartition(5), "e", "v", "t", near).collect()
-    assert [(r.n, r.first_log_id, r.last_log_id) for r in got] == [(200, 0, 199)]
+def test_near_events(spark):
+    t = spark.createDataFrame([(1, "Opened volume * on node * of rack"), (2, "opened VOLUME * on node 5 of rack"), (3, "opened volume on node of the rack"), (4, "nothing alike"), (5, None)], "event_id long, template string")
+    got = {r.event_id: {x.event: x.d for x in r.near} for r in near_events(t).collect()}
+    assert got == {1: {1: 0, 3: 142_857}, 2: {1: 0, 3: 142_857}, 3: {3: 0, 1: 142_857}, 4: {4: 0}, 5: {5: 0}}
+    assert near_events(t.limit(0)).count() == 0
+    rows = spark.createDataFrame([(1, e, i, i) for i, e in enumerate([1, 2, 2, 3, 1, 4, 9])], "e long, v long, t long, log_id long")
+    strict = segments(rows, "e", "v", "t", near_events(t), STRICT)
+    assert [(r.event, r.n) for r in strict.orderBy("first_us").collect()] == [(1, 3), (3, 1), (1, 1), (4, 1), (9, 1)]
+    assert [(r.event, r.n) for r in segments(rows, "e", "v", "t", near_events(t)).orderBy("first_us").collect()] == [(1, 5), (4, 1), (9, 1)]
 
 
 def test_nulls_and_empty(spark):
