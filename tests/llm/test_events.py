@@ -4,11 +4,12 @@ import random
 from collections import Counter, defaultdict
 from itertools import groupby
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.llm.runs import STRICT, UNIT, Segmentation, near_events, same_events, segmented, segments, without_redelivered
-from logloom.llm.subsequences import frequent_triples
+from logloom.llm.subsequences import PrefixTree, frequent_patterns, frequent_triples
 
 
 def _rows(seed, entities=40, n=3000):
@@ -147,26 +148,50 @@ def test_same_events_and_redelivered(spark):
     assert sorted(r.log_id for r in without_redelivered(rows, ["k"], ["k", "a", "b"]).collect()) == [1, 3, 4]
 
 
-def _brute_triples(seqs, gap, share, least):
+def _brute_patterns(seqs, size, gap, share, least):
     support = Counter()
     for s in seqs.values():
-        found = set()
-        for i in range(len(s)):
-            for p in range(1, gap + 2):
-                for q in range(1, gap + 2):
-                    if i + p + q < len(s):
-                        found.add((s[i], s[i + p], s[i + p + q]))
-        support.update(t for t in found if len(set(t)) == 3)
-    return {(*t, n) for t, n in support.items() if n >= least and n >= share * len(seqs)}
+        found = {((v,), i) for i, v in enumerate(s)}
+        for _ in range(size - 1):
+            found = {((*p, s[j]), j) for p, i in found for j in range(i + 1, min(i + gap + 2, len(s))) if s[j] not in p}
+        support.update({p for p, _ in found})
+    return {(t, n) for t, n in support.items() if n >= least and n >= share * len(seqs)}
+
+
+def _ordered(spark, seqs, parts=3):
+    flat = [(e, v) for e, s in seqs.items() for v in s]
+    size = -(-len(flat) // parts)
+    rows = [(i // size, 2 * i, e, v) for i, (e, v) in enumerate(flat)]
+    return spark.createDataFrame(rows, "part int, ord long, entity long, event long").repartition(4)
 
 
 @pytest.mark.parametrize("chunk", [16, 64, 16384])
-def test_triples(spark, chunk):
+def test_patterns_of_all_sizes(spark, chunk):
     r = random.Random(7)
+    seqs = {e: [r.randrange(8) for _ in range(300 if e == 3 else r.randrange(1, 30))] for e in range(24)}
+    got = defaultdict(set)
+    for x in frequent_patterns(_ordered(spark, seqs), (2, 5), 1, 0.1, 3, chunk).collect():
+        got[len(x.pattern)].add((tuple(x.pattern), x.support))
+    assert [got[k] for k in (2, 3, 4, 5)] == [_brute_patterns(seqs, k, 1, 0.1, 3) for k in (2, 3, 4, 5)] and all(got[k] for k in (2, 3, 4, 5))
+
+
+@pytest.mark.parametrize("chunk", [16, 16384])
+def test_triples(spark, chunk):
+    r = random.Random(8)
     seqs = {e: [r.randrange(30) for _ in range(400 if e == 3 else r.randrange(1, 40))] for e in range(30)}
-    rows = [(p % 3, e, k, v) for e, s in seqs.items() for k, v in enumerate(s) for p in [0]]
-    ordered = [(0, i, e, v) for i, (_, e, k, v) in enumerate(rows)]
-    runs = spark.createDataFrame(ordered, "part int, ord long, entity long, event long")
-    got = {tuple(x) for x in frequent_triples(runs, min_share=0.1, min_support=2, chunk=chunk).collect()}
-    assert got == _brute_triples(seqs, 3, 0.1, 2)
+    runs = _ordered(spark, seqs)
+    got = {((x[0], x[1], x[2]), x[3]) for x in frequent_triples(runs, min_share=0.1, min_support=2, chunk=chunk).collect()}
+    assert got == _brute_patterns(seqs, 3, 3, 0.1, 2)
     assert frequent_triples(runs.where(F.col("entity") == 1).limit(2)).count() == 0
+
+
+def test_tree_is_shared_by_entities():
+    seqs = {1: [5, 6, 7, 8], 2: [5, 6, 7, 9], 3: [5, 6, 4], 4: [6, 7]}
+    entity = np.concatenate([np.full(len(s), e) for e, s in seqs.items()])
+    tree = PrefixTree(entity, np.concatenate(list(seqs.values())), len(entity), 4)
+    paths = {tuple(tree.events[i, : d + 1].tolist()): n for d in range(4) for i, n in zip(tree.links[d].tolist(), tree.counts[d].tolist(), strict=True)}
+    assert (paths[5,], paths[5, 6], paths[5, 6, 7], paths[6,], paths[6, 7], paths[5, 6, 7, 8]) == (3, 3, 2, 4, 3, 1)
+    # position codes: the descendants of (5, 6) two below are those of the rows of its block
+    node = np.flatnonzero(tree.labels[1] == 6)[:1]
+    _, below = tree.below(1, node, 3)
+    assert sorted(tree.labels[3][below].tolist()) == [-1, 8, 9]
