@@ -53,6 +53,21 @@ def line_ms_id(line: Column) -> Column:
     return found(line, MS_ID)
 
 
+def line_pid(line: Column) -> Column:
+    """The leftmost number, as process ids are written."""
+    return found(line, PID)
+
+
+def line_ip(line: Column) -> Column:
+    """The leftmost four numbers with dots between."""
+    return found(line, IP)
+
+
+def line_pod_id(line: Column) -> Column:
+    """The leftmost id of a pod: a request id and two more parts."""
+    return found(line, POD_ID)
+
+
 def line_message(line: Column, removed: list[str] | None = None) -> Column:
     """The line without what ``removed`` lists and without stamps."""
     for pattern in [*(REMOVED_BATCH if removed is None else removed), *STAMPS]:
@@ -61,8 +76,9 @@ def line_message(line: Column, removed: list[str] | None = None) -> Column:
 
 
 def valid_date(text: Column) -> Column:
-    """Whether a text is exactly a date, or a date and time."""
-    with_time = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$") & F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")).isNotNull()
+    """Whether a text is exactly a date, or a date and time; seconds may be leap ones, 60 and 61."""
+    plain = F.regexp_replace(text, r":6[01]$", ":00")
+    with_time = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$") & F.try_to_timestamp(plain, F.lit("yyyy-M-d H:m:s")).isNotNull()
     only_date = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & F.try_to_timestamp(text, F.lit("yyyy-M-d")).isNotNull()
     return F.coalesce(F.when(F.instr(text, ":") > 0, with_time).otherwise(only_date), F.lit(False))
 

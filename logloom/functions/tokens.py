@@ -40,6 +40,15 @@ RULES: dict[str, list[tuple[str, str]]] = {
 # Fixed value: the characters that make a token special.
 SPECIAL = "#$&'*+,/<=>@^_`|~)"
 _SPECIAL = r"[#$&'*+,/<=>@^_`|~)]"
+# Fixed value: a word with special characters at its end only.
+_TAIL = r"^[\w]+[#$&'*+,\/<=>@^_`|~.]+$"
+
+
+def register_rules(name: str, rules: list[tuple[str, str]]) -> None:
+    """Make a rule set known by name to ``mask``; a set of that name is replaced."""
+    for pattern, _ in rules:
+        re.compile(pattern)
+    RULES[name] = list(rules)
 
 
 def read_rules(lines: list[str]) -> list[tuple[str, str]]:
@@ -84,7 +93,7 @@ def has_special(token: Column) -> Column:
 
 def has_special_tail(token: Column) -> Column:
     """Whether the token holds a special character other than at the end of a word."""
-    return has_special(token) & ~token.rlike(r"^[\w]+[#$&'*+,\/<=>@^_`|~.]+$")
+    return has_special(token) & ~token.rlike(_TAIL)
 
 
 def clean(token: Column) -> Column:

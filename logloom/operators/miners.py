@@ -9,13 +9,16 @@ All miners return ``Mined(assignments, templates)``: ``assignments(log_id, event
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,49 +60,111 @@ def _start_threshold(tokens: list[str], full: float) -> float:
     return full - full * (sum(map(digit, tokens)) / len(tokens))
 
 
+class Known:
+    """Where messages went since the last change of a template, by their tokens; of fixed size."""
+
+    SIZE = 65_536
+
+    def __init__(self) -> None:
+        self.at: dict[tuple[str, ...], int] = {}
+
+    def get(self, tokens: list[str]) -> int | None:
+        return self.at.get(tuple(tokens))
+
+    def put(self, tokens: list[str], k: int) -> int:
+        if len(self.at) >= self.SIZE:
+            self.at.clear()
+        self.at[tuple(tokens)] = k
+        return k
+
+    def clear(self, k: int) -> int:
+        self.at.clear()
+        return k
+
+
 # ---- signature buckets with entropy -------------------------------------------------------------
 
 
+class Codes:
+    """Templates of equal length as rows of token numbers, so that one comparison serves all of them."""
+
+    def __init__(self, templates: list[list[str]], limits: list[int]) -> None:
+        self.numbers: dict[str, int] = {ANY: 0}
+        self.rows, self.limits, self.n = np.zeros((0, 0), np.int32), np.zeros(0, np.int64), 0
+        for template, limit in zip(templates, limits, strict=True):
+            self.put(self.n, template, limit)
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens], np.int32)
+
+    def put(self, k: int, template: list[str], limit: int) -> None:
+        """Set template ``k`` and the most positions at which a message may differ from it."""
+        if k >= len(self.rows):
+            rows, limits = np.zeros((max(4, 2 * k), len(template)), np.int32), np.zeros(max(4, 2 * k), np.int64)
+            if self.n:
+                rows[: self.n], limits[: self.n] = self.rows[: self.n], self.limits[: self.n]
+            self.rows, self.limits = rows, limits
+        self.rows[k], self.limits[k], self.n = self.of(template), limit, max(self.n, k + 1)
+
+    def accepting(self, tokens: list[str]) -> list[int]:
+        """Templates from which a message differs at no more positions than they allow, in order."""
+        if not self.n:
+            return []
+        return np.flatnonzero((self.rows[: self.n] != self.of(tokens)).sum(axis=1) <= self.limits[: self.n]).tolist()
+
+
+def _limit(cluster: dict) -> int:
+    return math.ceil((1 - cluster["st"]) * cluster["nc"])
+
+
 class EntropyBucket:
     """Clusters of one (pos, key): the accepted cluster of least entropy change takes the message."""
 
     def __init__(self, full: float, few: int, compat: bool) -> None:
         self.full, self.few, self.compat, self.clusters = full, few, compat, []
+        self.codes = Codes([], [])
 
     def step(self, tokens: list[str]) -> int:
         best = None
-        change: dict[int, float] = {}
-        for k, c in enumerate(self.clusters):
-            got = self._change(c, tokens)
-            change = got[1] if got else {}
-            if got and (best is None or got[0] < best[1]):
+        accepting = self.codes.accepting(tokens)
+        for k in accepting:
+            got = self._change(self.clusters[k], tokens)
+            if best is None or got[0] < best[1]:
                 best = (k, *got)
         if best is None:
             n = len(tokens)
             self.clusters.append({"template": tokens, "st": _start_threshold(tokens, self.full), "nc": n, "n": 1, "entropy": [0.0] * n, "seen": [Counter([t]) for t in tokens]})
+            self.codes.put(len(self.clusters) - 1, tokens, _limit(self.clusters[-1]))
             return len(self.clusters) - 1
+        # quirk: the entropies kept are those of the cluster looked at last, not of the one chosen
+        change = best[2]
+        if self.compat and accepting[-1] != best[0]:
+            change = self._change(self.clusters[accepting[-1]], tokens)[1]
+        if self.compat and accepting[-1] != len(self.clusters) - 1:
+            change = {}
         c = self.clusters[best[0]]
         new = merged(c["template"], tokens)
-        c["nc"], c["template"], c["n"] = sum(t == s for t, s in zip(c["template"], tokens, strict=True)), new, c["n"] + 1
+        c["nc"], c["n"] = sum(t == s for t, s in zip(c["template"], tokens, strict=True)), c["n"] + 1
         for seen, t in zip(c["seen"], tokens, strict=True):
             seen[t] += 1
-        # quirk: the entropies kept are those of the cluster looked at last, not of the one chosen
-        for i, e in (change if self.compat else best[2]).items():
+        for i, e in change.items():
             c["entropy"][i] = e
+        c["template"] = new
+        self.codes.put(best[0], new, _limit(c))
         return best[0]
 
-    def _change(self, c: dict, tokens: list[str]) -> tuple[float, dict[int, float]] | None:
-        differ = [i for i, (a, b) in enumerate(zip(c["template"], tokens, strict=True)) if a != b]
-        if len(differ) > math.ceil((1 - c["st"]) * c["nc"]):
-            return None
+    def _change(self, c: dict, tokens: list[str]) -> tuple[float, dict[int, float]]:
         total, change, n = 0.0, {}, c["n"] + 1
-        for i in differ:
-            if len(seen := c["seen"][i]) < self.few:
-                weight = sum((f + (t == tokens[i])) * math.log(f + (t == tokens[i])) for t, f in seen.items())
+        for i, (a, b) in enumerate(zip(c["template"], tokens, strict=True)):
+            if a != b and len(seen := c["seen"][i]) < self.few:
+                weight = sum((f + (t == b)) * math.log(f + (t == b)) for t, f in seen.items())
                 change[i] = -(1.0 / n * weight - math.log(n))
                 total += abs(c["entropy"][i] - change[i])
         return total, change
 
+    def end(self) -> list[tuple[int, str, list[str]]]:
+        return [(k, " ".join(c["template"]), c["template"]) for k, c in enumerate(self.clusters)]
+
 
 # ---- signature buckets with first fit and Gini refinement ---------------------------------------
 
@@ -107,46 +172,59 @@ class EntropyBucket:
 class GiniBuckets:
     """Clusters of one pos by key: the cluster used last, else the first that accepts, takes the message."""
 
-    def __init__(self, full: float, compat: bool) -> None:
-        self.full, self.compat, self.keys, self.last = full, compat, {}, None
-
-    def step(self, key: str, tokens: list[str]) -> tuple[str, int]:
-        skip = -1
+    def __init__(self, full: float, few: int, compat: bool) -> None:
+        self.full, self.few, self.compat, self.last = full, few, compat, None
+        self.keys: dict[str, list[dict]] = {}
+        self.codes: dict[str, Codes] = {}
+
+    def step(self, key: str, tokens: list[str]) -> int:
+        if key not in self.keys:
+            self.keys[key], self.codes[key] = [], Codes([], [])
+        clusters, skip = self.keys[key], -1
+        accepting = self.codes[key].accepting(tokens)
         if self.last:
             if self.last[0] == key:
                 skip = self.last[1]
-                if self._take(self.keys[key][skip], tokens):
-                    return self.last
+                if skip in accepting:
+                    return self._take(key, skip, tokens)
             elif self.compat:
                 skip = self.last[1]  # quirk: the index is skipped in another key's list, too
-        clusters = self.keys.setdefault(key, [])
-        for k, c in enumerate(clusters):
-            if k != skip and self._take(c, tokens):
-                self.last = (key, k)
-                return self.last
+        for k in accepting:
+            if k != skip:
+                return self._take(key, k, tokens)
         n = len(tokens)
-        clusters.append({"template": tokens, "st": _start_threshold(tokens, self.full), "nc": n, "n": 1, "seen": [Counter([t]) for t in tokens]})
+        clusters.append({"template": tokens, "first": tokens, "st": _start_threshold(tokens, self.full), "nc": n, "n": 1, "seen": [Counter([t]) for t in tokens]})
+        self.codes[key].put(len(clusters) - 1, tokens, _limit(clusters[-1]))
         self.last = (key, len(clusters) - 1)
-        return self.last
+        return self.last[1]
 
-    def _take(self, c: dict, tokens: list[str]) -> bool:
-        equal = sum(a == b for a, b in zip(c["template"], tokens, strict=True))
-        if len(tokens) - equal > math.ceil((1 - c["st"]) * c["nc"]):
-            return False
-        c["template"], c["nc"], c["n"] = merged(c["template"], tokens), equal, c["n"] + 1
+    def _take(self, key: str, k: int, tokens: list[str]) -> int:
+        c = self.keys[key][k]
+        c["nc"] = sum(a == b for a, b in zip(c["template"], tokens, strict=True))
+        c["template"], c["n"] = merged(c["template"], tokens), c["n"] + 1
         for seen, t in zip(c["seen"], tokens, strict=True):
             seen[t] += 1
-        return True
+        self.codes[key].put(k, c["template"], _limit(c))
+        self.last = (key, k)
+        return k
+
+    def variables(self, key: str, k: int, tokens: list[str]) -> dict[int, str]:
+        """A message's tokens where its cluster may be split yet; elsewhere they are those of the cluster's first message."""
+        c = self.keys[key][k]
+        return {i: tokens[i] for i, t in enumerate(c["template"]) if t == ANY and len(c["seen"][i]) < self.few}
+
 
+def split_position(n: int, template: list[str], seen: list[list | None], total: int, most: float, compat: bool) -> int:
+    """The ``*`` position a big cluster is split at, -1 for none: the last (quirk), else that of least Gini.
 
-def split_position(cluster: dict, total: int, few: int, most: float, compat: bool) -> int:
-    """The ``*`` position a big cluster is split at, -1 for none: the last (quirk), else that of least Gini."""
-    if cluster["n"] / total < 0.1:
+    ``seen`` lists tokens and counts of the positions with few enough of them.
+    """
+    if n / total < 0.1:
         return -1
     fit = []
-    for i, t in enumerate(cluster["template"]):
-        if t == ANY and len(seen := cluster["seen"][i]) < few:
-            gini = 1 - sum(f * f for f in seen.values()) / cluster["n"] ** 2
+    for i, t in enumerate(template):
+        if t == ANY and seen[i] is not None:
+            gini = 1 - sum(f * f for _, f in seen[i]) / n**2
             if gini <= most and gini < 1:
                 fit.append((gini, i))
     return -1 if not fit else fit[-1][1] if compat else min(fit)[1]
@@ -163,8 +241,17 @@ class FixedTree:
         self.root: dict = {}
         self.leaf: list[int] = []  # clusters of length-independent depth 1, when depth is 1
         self.templates: list[list[str]] = []
+        self.known = Known()
 
     def step(self, tokens: list[str]) -> int:
+        if (k := self.known.get(tokens)) is not None:
+            return k
+        k = self._step(tokens)
+        # what a message found it finds again until a template changes
+        return self.known.put(tokens, k) if self.templates[k] == self.before else self.known.clear(k)
+
+    def _step(self, tokens: list[str]) -> int:
+        self.before = None
         path = self._find(tokens)
         if path is not None:
             scored = []
@@ -174,6 +261,7 @@ class FixedTree:
                 scored.append((same / len(tokens), t.count(ANY), -k))
             if scored and (top := max(scored))[0] >= self.least:
                 k = -top[2]
+                self.before = self.templates[k]
                 self.templates[k] = merged(self.templates[k], tokens)
                 return k
         self.templates.append(tokens)
@@ -209,6 +297,9 @@ class FixedTree:
         if len(tokens) >= self.depth or not self.compat:
             (self.leaf if node is self.root else node.setdefault("\0", [])).append(k)
 
+    def end(self) -> list[tuple[int, str, list[str]]]:
+        return [(k, " ".join(t), t) for k, t in enumerate(self.templates)]
+
 
 # ---- directed acyclic graph: tree phase ---------------------------------------------------------
 
@@ -216,8 +307,9 @@ class FixedTree:
 class PointerTree:
     """Clusters of one length by first or last token, the one used last being tried first."""
 
-    def __init__(self, children: int) -> None:
-        self.children, self.nodes, self.pointer, self.clusters = children, {}, None, []
+    def __init__(self, children: int, compat: bool = True) -> None:
+        self.children, self.compat = children, compat
+        self.nodes, self.pointer, self.clusters = {}, None, []
 
     def step(self, tokens: list[str]) -> tuple[int, bool]:
         """The cluster, and whether its template is new or changed."""
@@ -255,7 +347,8 @@ class PointerTree:
         plain = [not digit(x) and not special(x) for x in (first, last)]
         if ((t[0] == first and plain[0]) or (t[-1] == last and plain[1]) or (t[0] == ANY and t[-1] == ANY)) and self.likeness(t, tokens)[0] >= c["st"]:
             return self.pointer
-        for key in (("first", first), ("last", last), *([ANY] if digit(first) and digit(last) else [])):
+        # quirk: messages that went to the catch-all because there were enough nodes aren't looked for there
+        for key in (("first", first), ("last", last), *([ANY] if not self.compat or (digit(first) and digit(last)) else [])):
             if key in self.nodes:
                 break
         else:
@@ -291,20 +384,29 @@ def cells(changes: list[tuple[int, int, list[str]]], threshold: float) -> dict[i
     templates: dict[int, list[str]] = {}
     cell: dict[int, int] = {}
     held: dict[int, list[int]] = {}
+    terms = Terms()
     for _, c, template in sorted(changes, key=lambda x: x[0]):
         new = c not in templates
         templates[c] = template
+        constants = [t for t in template if t != ANY]
+        terms.put(c, constants)
         if new:
             cell[c], held[c] = c, [c]
             continue
         if threshold >= 1:
             continue
         best = None
-        for o, other in templates.items():
+        shared = terms.shared(set(constants))
+        repeats = len(constants) - len(set(constants))
+        for o in sorted(shared, key=terms.order.__getitem__):
+            other = templates[o]
             if len(other) == len(template) or cell[o] == cell[c]:
                 continue
+            shorter = min(len(template), len(other))
+            if (shared[o] + repeats) / shorter <= threshold:  # there can't be more in common
+                continue
             common = len(lcs_walk(template, other, mark=False)[1])
-            score = (common / min(len(template), len(other)), common)
+            score = (common / shorter, common)
             if best is None or score > best[0]:
                 best = (score, o)
         if best and best[0][0] > threshold:
@@ -315,28 +417,64 @@ def cells(changes: list[tuple[int, int, list[str]]], threshold: float) -> dict[i
     return cell
 
 
+class Terms:
+    """Which texts hold a token: how many different tokens each shares with a message, without looking at all texts."""
+
+    def __init__(self) -> None:
+        self.order: dict[int, int] = {}
+        self.sets: dict[int, set[str]] = {}
+        self.holders: dict[str, set[int]] = {}
+
+    def put(self, k: int, tokens: list[str]) -> None:
+        """Set the tokens of text ``k``."""
+        self.order.setdefault(k, len(self.order))
+        new, old = set(tokens), self.sets.get(k, set())
+        for t in old - new:
+            self.holders[t].discard(k)
+        for t in new - old:
+            self.holders.setdefault(t, set()).add(k)
+        self.sets[k] = new
+
+    def shared(self, tokens: set[str]) -> Counter:
+        """Number of different tokens in common with each text that has any."""
+        return Counter(k for t in tokens for k in self.holders.get(t, ()))
+
+
 # ---- longest common subsequence over all messages ----------------------------------------------
 
 
 class Signatures:
     """Signatures of all messages: prefix tree, then subsequence, then longest common subsequence."""
 
-    def __init__(self, threshold: float) -> None:
-        self.threshold, self.tree, self.signatures = threshold, {"n": 0, "id": -1, "next": {}}, {}
+    def __init__(self, threshold: float, compat: bool = True) -> None:
+        self.threshold, self.compat = threshold, compat
+        self.tree, self.signatures, self.known = {"n": 0, "id": -1, "next": {}}, {}, Known()
+        self.terms = Terms()
 
     def step(self, tokens: list[str]) -> int:
-        if (k := self._walk(tokens)) != -1 or (k := self._contained(tokens)) != -1:
+        if (k := self.known.get(tokens)) is not None:
             return k
+        if (k := self._walk(tokens)) == -1:
+            shared = self.terms.shared(set(tokens))
+            if (k := self._contained(tokens, shared)) == -1:
+                return self.known.clear(self._joined(tokens, shared))
+        return self.known.put(tokens, k)
+
+    def _joined(self, tokens: list[str], shared: Counter) -> int:
         best, result, size, length = -1, [], -1, 0
-        own = set(tokens)
-        for k, s in self.signatures.items():
-            if len(own & set(s)) / len(own | set(s)) > 0.5:
+        own = len(set(tokens))
+        for k in sorted(shared):
+            if shared[k] / (own + len(self.terms.sets[k]) - shared[k]) > 0.5:
+                s = self.signatures[k]
                 n, template = lcs_walk(s, tokens, mark=True)
                 if n > size:
                     best, result, size, length = k, template, n, len(s)
                 elif n == size and len(s) < length:
-                    # quirk: the length now counts ``*`` too, and the signature compared with stays
-                    best, result, size = k, template, len(template)
+                    best, result = k, template
+                    if self.compat:  # quirk: the length now counts ``*`` too, and the signature compared with stays
+                        size = len(template)
+                    else:
+                        length = len(s)
         if size / len(tokens) >= self.threshold:
             self._remove(self.signatures[best])
             self.signatures[best] = result
@@ -344,16 +482,21 @@ class Signatures:
             best, result = len(self.signatures) + 1, tokens
             self.signatures[best] = tokens
         self._add(result, best)
+        self.terms.put(best, result)
         return best
 
     def _walk(self, tokens: list[str]) -> int:
         node = self.tree
-        for t in tokens:  # a token without branch is passed over
-            node = node["next"].get(t) or node["next"].get(ANY) or node
+        for t in tokens:
+            below = node["next"].get(t) or node["next"].get(ANY)
+            if below is None and not self.compat:
+                return -1
+            node = below or node  # quirk: a token without branch is passed over
         return node["id"]
 
-    def _contained(self, tokens: list[str]) -> int:
-        for k, s in self.signatures.items():
+    def _contained(self, tokens: list[str], shared: Counter) -> int:
+        for k in sorted(k for k, n in shared.items() if n == len(self.terms.sets[k])):
+            s = self.signatures[k]
             if len(s) / len(tokens) >= 0.5:
                 rest = iter(tokens)
                 if all(t in rest for t in s):
@@ -381,10 +524,17 @@ class Signatures:
             node = node["next"][t]
         node["id"] = k
 
+    def end(self) -> list[tuple[int, str, list[str]]]:
+        return [(k, " ".join(t), t) for k, t in self.signatures.items()]
+
 
 # ---- running them -------------------------------------------------------------------------------
 
-_OUT = "log_id long, ord long, a string, b string, c long, text string, template array<string>, extra array<double>"
+_OUT = "log_id long, ord long, a string, b string, c long, vars string, n long, text string, template array<string>, extra array<double>"
+_ARROW = pa.schema([
+    ("log_id", pa.int64()), ("ord", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("c", pa.int64()), ("vars", pa.string()), ("n", pa.int64()),
+    ("text", pa.string()), ("template", pa.list_(pa.string())), ("extra", pa.list_(pa.float64())),
+])
 
 
 def _prepared(logs: DataFrame, order: str, tokens: str, *more: Column) -> DataFrame:
@@ -392,30 +542,95 @@ def _prepared(logs: DataFrame, order: str, tokens: str, *more: Column) -> DataFr
     return logs.where(F.col(tokens).isNotNull() & (F.size(tokens) > 0)).select(F.col("log_id").cast("long").alias("log_id"), F.col(order).cast("long").alias("ord"), F.col(tokens).alias("tokens"), *more)
 
 
-def _grouped(rows: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
-    names = [x.split()[0] for x in _OUT.split(", ")]
+class Machine:
+    """A miner over one group: ``step`` places a message, ``end`` gives what the group's templates are.
+
+    Subclass it and give it to ``mined`` to run another miner the same way. ``step`` returns the cluster
+    ``(b, c)``, a text kept beside the message, and a template to report at once (or None); ``end`` gives
+    ``(b, c, text, template, extra)`` of every cluster.
+    """
+
+    def step(self, tokens: list[str], key: str) -> tuple[str, int, str | None, list[str] | None]:
+        raise NotImplementedError
+
+    def end(self) -> list[tuple[str, int, str | None, list[str], list[float] | None]]:
+        raise NotImplementedError
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(run(pdf.sort_values(["ord", "log_id"], kind="stable")), columns=names)
 
-    return staged(rows.groupBy(*keys).applyInPandas(group, _OUT), "mined")
+class Plain(Machine):
+    """A state whose ``step`` gives a cluster number and whose ``end`` gives numbers, texts and templates."""
 
+    def __init__(self, state: object, key: str = "") -> None:
+        self.state, self.key = state, key
 
-def _numbered(found: DataFrame, by: list[str], same_text: bool) -> Mined:
-    """Number clusters by ``by``; clusters of one text are one event, if ``same_text``."""
-    first = found.groupBy("a", "b", "c").agg(F.min("ord").alias("ord"), F.first("text").alias("text"), F.count("*").alias("n"))
-    first = first.withColumns({"_a": F.min("ord").over(W.partitionBy("a")), "_b": F.min("ord").over(W.partitionBy("a", "b"))})
-    # templates, not messages, are numbered from here on
-    ranked = positions(first, *by, name="_rank")
+    def step(self, tokens: list[str], key: str) -> tuple[str, int, str | None, list[str] | None]:
+        return self.key, self.state.step(tokens), None, None
+
+    def end(self) -> list[tuple[str, int, str | None, list[str], list[float] | None]]:
+        return [(self.key, k, text, template, None) for k, text, template in self.state.end()]
+
+
+def mined(rows: DataFrame, keys: list[str], make: Callable[..., Machine], key: str | None = None) -> DataFrame:
+    """Run a machine per group of ``keys``: one row per message (``n`` null) and one per cluster (``log_id`` null).
+
+    ``rows`` has ``log_id, ord, tokens``, the keys and, if named, the column whose values ``step`` gets. Groups lie sorted in their partitions and go through their
+    machine batch by batch, so a task holds the machine's state, never a group. Messages come out as ids and
+    cluster numbers; their tokens are not written again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, machine = None, None
+        met: dict[tuple[str, int], list[int]] = {}
+
+        def closed() -> list[tuple]:
+            if machine is None:
+                return []
+            return [(None, met[b, c][0], str(group[0]), b, c, None, met[b, c][1], text, template, extra) for b, c, text, template, extra in machine.end() if (b, c) in met]
+
+        for batch in batches:
+            out = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("log_id", "ord", "tokens", key or keys[-1], *keys)]
+            for log_id, ordinal, tokens, named, *own in zip(*columns, strict=True):
+                if own != group:
+                    out += closed()
+                    group, machine, met = own, make(*own), {}
+                b, c, variables, template = machine.step(tokens, named)
+                cell = met.setdefault((b, c), [ordinal, 0])
+                cell[1] += 1
+                out.append((log_id, ordinal, str(own[0]), b, c, variables, None, None, template, None))
+            if out:
+                yield _batch(out)
+        if out := closed():
+            yield _batch(out)
+
+    placed = rows.select("log_id", "ord", "tokens", *dict.fromkeys([*keys, *([key] if key else [])])).repartition(*keys).sortWithinPartitions(*keys, "ord", "log_id")
+    return staged(placed.mapInArrow(run, _OUT), "mined")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
+def _parted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return found.where("log_id is not null"), found.where("log_id is null")
+
+
+def _numbered(assigned: DataFrame, clusters: DataFrame, by: list[str], same_text: bool) -> Mined:
+    """Number clusters ``a, b, c, ord, text, n`` by ``by``; clusters of one text are one event, if ``same_text``.
+
+    Templates, not messages, are numbered, and once.
+    """
+    first = clusters.withColumns({"_a": F.min("ord").over(W.partitionBy("a")), "_b": F.min("ord").over(W.partitionBy("a", "b"))})
+    key = F.struct(*by)
     if same_text:
-        ranked = ranked.withColumn("_rank", F.min("_rank").over(W.partitionBy("text")))
-        numbers = positions(ranked.select("_rank").distinct(), "_rank", name="event")
-        ranked = ranked.join(numbers, "_rank")
+        texts = first.groupBy("text").agg(F.min(key).alias("_k"), F.sum("n").alias("n"))
+        events = positions(texts.select("text", "n", *[F.col(f"_k.{c}").alias(c) for c in by]), *by, name="event").select("text", "n", (F.col("event") + 1).cast("long").alias("event"))
+        ranked = first.join(events.select("text", "event"), "text")
+        templates = events.select("event", F.col("text").alias("template"), "n")
     else:
-        ranked = ranked.withColumn("event", F.col("_rank"))
-    ranked = ranked.withColumn("event", (F.col("event") + 1).cast("long"))
-    assigned = found.join(ranked.select("a", "b", "c", "event"), ["a", "b", "c"]).select("log_id", "event")
-    return Mined(assigned, ranked.groupBy("event").agg(F.min("text").alias("template"), F.sum("n").alias("n")))
+        ranked = positions(first, *by, name="event").withColumn("event", (F.col("event") + 1).cast("long"))
+        templates = ranked.select("event", F.col("text").alias("template"), "n")
+    return Mined(assigned.join(ranked.select("a", "b", "c", "event"), ["a", "b", "c"]).select("log_id", "event"), templates)
 
 
 _BUCKET_ORDER = ["_a", "_b", "c"]
@@ -428,48 +643,60 @@ def _keyed(logs: DataFrame, order: str, tokens: str, fallback: str) -> DataFrame
 
 def mine_bsg(logs: DataFrame, order: str = "log_id", tokens: str = "tokens", full: float = 0.7, few: int = 20, compat: bool = True) -> Mined:
     """Signature buckets with entropy; groups (pos, key) are independent."""
+    found = mined(_keyed(logs, order, tokens, ""), ["pos", "key"], lambda pos, key: Plain(EntropyBucket(full, few, compat), key))
+    return _numbered(*_parted(found), _BUCKET_ORDER, same_text=True)
+
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        bucket = EntropyBucket(full, few, compat)
-        into = [bucket.step(list(t)) for t in pdf["tokens"]]
-        texts = [" ".join(c["template"]) for c in bucket.clusters]
-        pos, key = str(pdf["pos"].iat[0]), pdf["key"].iat[0]
-        return [(i, o, pos, key, k, texts[k], bucket.clusters[k]["template"], None) for i, o, k in zip(pdf["log_id"], pdf["ord"], into, strict=True)]
-
-    return _numbered(_grouped(_keyed(logs, order, tokens, ""), ["pos", "key"], run), _BUCKET_ORDER, same_text=True)
-
-
-def _gini_rows(logs: DataFrame, order: str, tokens: str, full: float, few: int, most: float, compat: bool) -> DataFrame:
-    rows = _keyed(logs, order, tokens, ANY)
-    total = rows.count()
-
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        buckets = GiniBuckets(full, compat)
-        lists = [list(t) for t in pdf["tokens"]]
-        into = [buckets.step(k, t) for k, t in zip(pdf["key"], lists, strict=True)]
-        final: dict[tuple, tuple[int, list[str], float, float]] = {}  # (key, cluster, word) -> ordinal, template, nc, st
-        places: dict[tuple[str, int], int] = {}
-        for key, clusters in buckets.keys.items():
-            ordinal = 0
-            for k, c in enumerate(clusters):
-                at = places[key, k] = split_position(c, total, few, most, compat)
-                for word in c["seen"][at] if at >= 0 else [None]:
-                    template = c["template"] if word is None else [*c["template"][:at], word, *c["template"][at + 1 :]]
-                    final[key, k, word] = (ordinal, template, *((c["nc"], c["st"]) if word is None else (len(template) + 1, 0.0)))
-                    ordinal += 1
-        pos, out = str(pdf["pos"].iat[0]), []
-        for i, o, (key, k), t in zip(pdf["log_id"], pdf["ord"], into, lists, strict=True):
-            at = places[key, k]
-            ordinal, template, nc, st = final[key, k, t[at] if at >= 0 else None]
-            out.append((i, o, pos, key, ordinal, collapsed(template), template, [nc, st]))
-        return out
-
-    return _grouped(rows, ["pos"], run)
+class Gini(Machine):
+    """First-fit buckets of one pos."""
+
+    def __init__(self, full: float, few: int, compat: bool) -> None:
+        self.state = GiniBuckets(full, few, compat)
+
+    def step(self, tokens: list[str], key: str) -> tuple[str, int, str | None, list[str] | None]:
+        k = self.state.step(key, tokens)
+        variables = self.state.variables(key, k, tokens)
+        return key, k, json.dumps(variables) if variables else None, None
+
+    def end(self) -> list[tuple[str, int, str | None, list[str], list[float] | None]]:
+        # the positions' counts go out as text: the split needs the number of all messages, which no group knows
+        return [
+            (key, k, json.dumps([c["n"], c["first"], [list(x.items()) if t == ANY and len(x) < self.state.few else None for t, x in zip(c["template"], c["seen"], strict=True)]]), c["template"], [c["nc"], c["st"]])
+            for key, clusters in self.state.keys.items() for k, c in enumerate(clusters)
+        ]
+
+
+def _gini(logs: DataFrame, order: str, tokens: str, full: float, few: int, most: float, compat: bool) -> tuple[DataFrame, DataFrame]:
+    """Messages and refined clusters; ``c`` is a cluster's ordinal among its key's, those that were split counted by word."""
+    assigned, clusters = _parted(mined(_keyed(logs, order, tokens, ANY), ["pos"], lambda pos: Gini(full, few, compat), key="key"))
+    total = clusters.agg(F.sum("n")).first()[0] or 0
+
+    def refined(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, ordinal = [], 0
+        for r in pdf.sort_values("c").itertuples(index=False):
+            n, first, seen = json.loads(r.text)
+            template = list(r.template)
+            at = split_position(n, template, seen, total, most, compat)
+            for word, count in seen[at] if at >= 0 else [(None, n)]:
+                split = template if word is None else [*template[:at], word, *template[at + 1 :]]
+                extra = list(r.extra) if word is None else [len(split) + 1.0, 0.0]
+                out.append((r.a, r.b, r.c, at, first[at] if at >= 0 else None, word, ordinal, r.ord, count, collapsed(split), split, extra))
+                ordinal += 1
+        return pd.DataFrame(out, columns=["a", "b", "k", "at", "first", "word", "c", "ord", "n", "text", "template", "extra"])
+
+    schema = "a string, b string, k long, at int, first string, word string, c long, ord long, n long, text string, template array<string>, extra array<double>"
+    # clusters, not messages: few rows a key
+    final = staged(clusters.groupBy("a", "b").applyInPandas(refined, schema), "refined")
+    places = final.select("a", "b", "k", "at", "first").distinct()
+    said = F.from_json("vars", "map<string,string>")[F.col("at").cast("string")]
+    worded = assigned.withColumnRenamed("c", "k").join(places, ["a", "b", "k"]).withColumn("word", F.when(F.col("at") >= 0, F.coalesce(said, "first")))
+    named = final.select("a", "b", "k", F.coalesce("word", F.lit("")).alias("_w"), "c")
+    return worded.withColumn("_w", F.coalesce("word", F.lit(""))).join(named, ["a", "b", "k", "_w"]).select("log_id", "ord", "a", "b", "c"), final
 
 
 def mine_bsgi(logs: DataFrame, order: str = "log_id", tokens: str = "tokens", full: float = 0.7, few: int = 20, most: float = 0.75, compat: bool = True) -> Mined:
     """Signature buckets with first fit, then one Gini refinement; groups are lengths and key positions."""
-    return _numbered(_gini_rows(logs, order, tokens, full, few, most, compat), _BUCKET_ORDER, same_text=True)
+    return _numbered(*_gini(logs, order, tokens, full, few, most, compat), _BUCKET_ORDER, same_text=True)
 
 
 def classify(train: DataFrame, messages: DataFrame, order: str = "log_id", tokens: str = "tokens", full: float = 0.7, few: int = 20, most: float = 0.75, compat: bool = True) -> DataFrame:
@@ -477,48 +704,48 @@ def classify(train: DataFrame, messages: DataFrame, order: str = "log_id", token
 
     Quirk (``compat``): messages whose both ends are unclean are looked up under another key than they
     were trained under and so never found. Templates join on (pos, key); the earliest that accepts wins.
+    Messages of the same tokens are looked up once.
     """
-    found = _gini_rows(train, order, tokens, full, few, most, compat)
-    mined = _numbered(found, _BUCKET_ORDER, same_text=True)
-    clusters = found.groupBy("a", "b", "c").agg(F.first("template").alias("t"), F.first("extra").alias("x"), F.min("text").alias("text"))
-    known = clusters.join(mined.templates.withColumnRenamed("template", "text"), "text").select(F.col("a").cast("int").alias("pos"), F.col("b").alias("key"), "c", "t", "x", "event", "text")
-    asked = _keyed(messages, order, tokens, "" if compat else ANY)
-    differ = F.aggregate(F.zip_with("tokens", "t", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, d: s + d)
+    assigned, final = _gini(train, order, tokens, full, few, most, compat)
+    events = _numbered(assigned, final, _BUCKET_ORDER, same_text=True).templates.withColumnRenamed("template", "text")
+    known = final.select(F.col("a").cast("int").alias("pos"), F.col("b").alias("key"), "c", F.col("template").alias("t"), F.col("extra").alias("x"), "text").join(events.select("event", "text"), "text")
+    asked = _keyed(messages, order, tokens, "" if compat else ANY).select("log_id", "pos", "key", F.array_join("tokens", "\u0001").alias("_said"))
+    once = asked.select("pos", "key", "_said").distinct().withColumn("tokens", F.split("_said", "\u0001", -1))
+    differ = F.size(F.filter(F.zip_with("tokens", "t", lambda a, b: a != b), lambda x: x))
     fits = differ <= F.ceil((1 - F.col("x")[1]) * F.col("x")[0])
-    hits = asked.join(known, ["pos", "key"]).where(fits).groupBy("log_id").agg(F.min_by(F.struct("event", "text"), "c").alias("_hit"))
-    return messages.select("log_id").join(hits, "log_id", "left").select("log_id", F.coalesce("_hit.event", F.lit(-1)).cast("long").alias("event"), F.coalesce("_hit.text", F.lit("")).alias("template"))
+    hits = once.join(known, ["pos", "key"]).where(fits).groupBy("pos", "key", "_said").agg(F.min_by(F.struct("event", "text"), "c").alias("_hit"))
+    placed = asked.join(hits, ["pos", "key", "_said"]).select("log_id", "_hit")
+    return messages.select("log_id").join(placed, "log_id", "left").select("log_id", F.coalesce("_hit.event", F.lit(-1)).cast("long").alias("event"), F.coalesce("_hit.text", F.lit("")).alias("template"))
 
 
 def mine_drain(logs: DataFrame, order: str = "log_id", tokens: str = "tokens", depth: int = 3, least: float = 0.5, children: int = 10, compat: bool = True) -> Mined:
     """Fixed-depth tree; lengths are independent. Templates aren't merged by text."""
+    rows = _prepared(logs, order, tokens, F.size(tokens).alias("len"))
+    return _numbered(*_parted(mined(rows, ["len"], lambda n: Plain(FixedTree(depth, children, least, compat)))), ["ord"], same_text=False)
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        tree = FixedTree(depth, children, least, compat)
-        into = [tree.step(list(t)) for t in pdf["tokens"]]
-        n = str(len(pdf["tokens"].iat[0]))
-        return [(i, o, n, "", k, " ".join(tree.templates[k]), tree.templates[k], None) for i, o, k in zip(pdf["log_id"], pdf["ord"], into, strict=True)]
 
-    rows = _prepared(logs, order, tokens, F.size(tokens).alias("len"))
-    return _numbered(_grouped(rows, ["len"], run), ["ord"], same_text=False)
+class Pointer(Machine):
+    """A pointer tree, which reports templates when they change."""
+
+    def __init__(self, children: int, compat: bool) -> None:
+        self.state = PointerTree(children, compat)
+
+    def step(self, tokens: list[str], key: str) -> tuple[str, int, str | None, list[str] | None]:
+        k, new = self.state.step(tokens)
+        return "", k, None, self.state.clusters[k]["template"] if new else None
 
+    def end(self) -> list[tuple[str, int, str | None, list[str], list[float] | None]]:
+        return [("", k, None, c["template"], None) for k, c in enumerate(self.state.clusters)]
 
-def mine_draga(logs: DataFrame, order: str = "log_id", tokens: str = "tokens", children: int = 120, threshold: float = 0.9) -> Mined:
+
+def mine_draga(logs: DataFrame, order: str = "log_id", tokens: str = "tokens", children: int = 120, threshold: float = 0.9, compat: bool = True) -> Mined:
     """Pointer trees per length, then one replay of the changes of templates that merges output cells.
 
     The replay sees one row per new or changed template, not per message. A cell's template text lists
     its clusters' templates, one a line.
     """
-
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        tree = PointerTree(children)
-        n, out = str(len(pdf["tokens"].iat[0])), []
-        for i, o, t in zip(pdf["log_id"], pdf["ord"], pdf["tokens"], strict=True):
-            k, new = tree.step(list(t))
-            out.append((i, o, n, "", k, None, tree.clusters[k]["template"] if new else None, None))
-        return out
-
     rows = _prepared(logs, order, tokens, F.size(tokens).alias("len"))
-    found = _grouped(rows, ["len"], run)
+    assigned, clusters = _parted(mined(rows, ["len"], lambda n: Pointer(children, compat)))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable")
@@ -531,45 +758,45 @@ def mine_draga(logs: DataFrame, order: str = "log_id", tokens: str = "tokens", c
             texts.setdefault(cell[c], []).append(" ".join(last[c]))
         return pd.DataFrame([(a, c, cell[k], "\n".join(texts[cell[k]])) for (a, c), k in number.items()], columns=["a", "c", "cell", "text"])
 
-    replayed = found.where("template is not null").groupBy(F.lit(0).alias("_one")).applyInPandas(lambda p: replay(p), "a string, c long, cell long, text string")
-    into = staged(found.select("log_id", "ord", "a", "c").join(replayed, ["a", "c"]), "cells")
-    return _numbered(into.select("log_id", "ord", F.lit("").alias("a"), F.lit("").alias("b"), F.col("cell").alias("c"), "text"), ["c"], same_text=False)
+    changed = assigned.where("template is not null").select("ord", "a", "c", "template")
+    replayed = staged(changed.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda p: replay(p), "a string, c long, cell long, text string"), "cells")
+    into = assigned.select("log_id", "a", "c").join(replayed, ["a", "c"]).select("log_id", F.lit("").alias("a"), F.lit("").alias("b"), F.col("cell").alias("c"))
+    sizes = clusters.select("a", "c", "ord", "n").join(replayed, ["a", "c"]).groupBy(F.col("cell").alias("c")).agg(F.min("ord").alias("ord"), F.sum("n").alias("n"), F.first("text").alias("text"))
+    return _numbered(into, sizes.withColumns({"a": F.lit(""), "b": F.lit("")}), ["c"], same_text=False)
 
 
-def mine_spell(logs: DataFrame, order: str = "log_id", tokens: str = "tokens", threshold: float = 0.5, partition_by: str | None = None) -> Mined:
+def mine_spell(logs: DataFrame, order: str = "log_id", tokens: str = "tokens", threshold: float = 0.5, partition_by: str | None = None, compat: bool = True) -> Mined:
     """Longest common subsequences over all messages.
 
     Any signature may match any message, so the exact result needs one task; ``partition_by`` names a
     column whose groups are mined separately instead, which is not the same result.
     """
-
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        state = Signatures(threshold)
-        into = [state.step(list(t)) for t in pdf["tokens"]]
-        part = str(pdf["part"].iat[0])
-        return [(i, o, part, "", k, " ".join(state.signatures[k]), state.signatures[k], None) for i, o, k in zip(pdf["log_id"], pdf["ord"], into, strict=True)]
-
     rows = _prepared(logs, order, tokens, (F.col(partition_by) if partition_by else F.lit(0)).alias("part"))
-    return _numbered(_grouped(rows, ["part"], run), ["ord"], same_text=False)
+    return _numbered(*_parted(mined(rows, ["part"], lambda part: Plain(Signatures(threshold, compat)))), ["ord"], same_text=False)
 
 
 # ---- first fit by length ------------------------------------------------------------------------
 
 
-def _first_fit(lists: list[list[str]], threshold: float) -> tuple[list[int], list[list[str]]]:
-    templates: list[list[str]] = []
-    into = []
-    for tokens in lists:
-        for k, t in enumerate(templates):
+class FirstFit:
+    """Templates of one length: the first that keeps enough constants takes the message."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.templates, self.known = threshold, [], Known()
+
+    def step(self, tokens: list[str]) -> int:
+        if (k := self.known.get(tokens)) is not None:
+            return k
+        for k, t in enumerate(self.templates):
             new = merged(t, tokens)
-            if 1 - new.count(ANY) / len(tokens) >= threshold:
-                templates[k] = new
-                break
-        else:
-            k = len(templates)
-            templates.append(tokens)
-        into.append(k)
-    return into, templates
+            if 1 - new.count(ANY) / len(tokens) >= self.threshold:
+                self.templates[k] = new
+                return self.known.put(tokens, k) if new == t else self.known.clear(k)
+        self.templates.append(tokens)
+        return self.known.clear(len(self.templates) - 1)
+
+    def end(self) -> list[tuple[int, str, list[str]]]:
+        return [(k, constants_text(t), t) for k, t in enumerate(self.templates)]
 
 
 def constants_text(template: list[str]) -> str:
@@ -588,14 +815,8 @@ def term_pairs(template: list[str]) -> tuple:
 
 def mine_first_fit(logs: DataFrame, order: str = "log_id", words: str = "words", threshold: float = 0.5) -> Mined:
     """First fit per length; templates equal without ``*`` are one. Messages without words get no event."""
-
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        into, templates = _first_fit([list(t) for t in pdf["tokens"]], threshold)
-        n = str(len(pdf["tokens"].iat[0]))
-        return [(i, o, n, "", k, constants_text(templates[k]), templates[k], None) for i, o, k in zip(pdf["log_id"], pdf["ord"], into, strict=True)]
-
     rows = _prepared(logs, order, words, F.size(words).alias("len"))
-    return _numbered(_grouped(rows, ["len"], run), ["_a", "c"], same_text=True)
+    return _numbered(*_parted(mined(rows, ["len"], lambda n: Plain(FirstFit(threshold)))), ["_a", "c"], same_text=True)
 
 
 def first_fit_sweep(logs: DataFrame, order: str = "log_id", words: str = "words", thresholds: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
@@ -606,11 +827,6 @@ def first_fit_sweep(logs: DataFrame, order: str = "log_id", words: str = "words"
     """
     rows = _prepared(logs, order, words, F.size(words).alias("len"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
 
-    def templates(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "log_id"], kind="stable")
-        t = float(pdf["threshold"].iat[0])
-        return pd.DataFrame({"threshold": t, "template": _first_fit([list(x) for x in pdf["tokens"]], t)[1]})
-
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: dict[tuple, list[list[str]]] = {}
         by_text: dict[str, list[list[str]]] = {}
@@ -627,6 +843,6 @@ def first_fit_sweep(logs: DataFrame, order: str = "log_id", words: str = "words"
         c, d = sum(kept) / len(kept), sum(least) / len(least)
         return pd.DataFrame([(float(pdf["threshold"].iat[0]), c, d, c * d**2)], columns=["threshold", "compactness", "distance", "quality"])
 
-    mined = rows.groupBy("threshold", "len").applyInPandas(templates, "threshold double, template array<string>")
-    scored = mined.groupBy("threshold").applyInPandas(score, "threshold double, compactness double, distance double, quality double")
+    found = _parted(mined(rows, ["threshold", "len"], lambda t, n: Plain(FirstFit(t))))[1].select(F.col("a").cast("double").alias("threshold"), "template")
+    scored = found.groupBy("threshold").applyInPandas(score, "threshold double, compactness double, distance double, quality double")
     return scored.withColumn("best", F.row_number().over(W.orderBy(F.desc("quality"), F.desc("threshold"))) == 1)

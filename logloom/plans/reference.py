@@ -129,6 +129,35 @@ def similarity_of_neighbours(spark, sf_dir):
     )
 
 
+@query(f"""with {_LISTS}, folded as (select len(l) as n, list(l order by log_id) as ls from lists group by 1),
+        merged as (select n, list_transform(range(1, n + 1), lambda i: case when len(list_distinct(list_transform(ls, lambda x: x[i]))) = 1 then ls[1][i] else '*' end) as t from folded),
+        pairs as (select log_id, l, t from lists join merged on len(l) = n),
+        counted as (select *, len(list_filter(range(1, len(t) + 1), lambda i: t[i] <> '*' and t[i] = l[i])) as same, len(list_filter(t, lambda x: x <> '*')) as constants,
+            len(list_filter(range(1, len(t) + 1), lambda i: t[i] <> l[i])) as differ from pairs)
+    select log_id, round(same / len(t), 9) as of_length, round(case when constants > 0 then same / constants when len(t) = 1 and regexp_matches(l[1], '\\p{{Nd}}') then 1.0 else 0.0 end, 9) as of_constants,
+        differ <= ceil(0.3 * constants) as within, array_to_string(t, ' ') as template from counted""")
+def likeness_to_length(spark, sf_dir):
+    """Each message beside the template of all messages of its length."""
+    rows = rendered(spark, sf_dir).select("log_id", F.size("tokens").alias("length"), "tokens")
+    folded = quality.folded_templates(rows, ["length"]).select("length", F.split("template", " ", -1).alias("t"), "template")
+    t, own = F.col("t"), F.col("tokens")
+    constants = F.size(F.filter("t", lambda x: x != "*"))
+    return rows.join(folded, "length").select(
+        "log_id", F.round(similarity.share_of_length(t, own), 9).alias("of_length"), F.round(similarity.share_of_constants(t, own), 9).alias("of_constants"),
+        similarity.within_distance(t, own, constants, F.lit(0.7)).alias("within"), "template",
+    )
+
+
+@query(r"""with t as (select event_id, template, string_split(template, ' ') as w from labelled_templates where template is not null)
+    select event_id, trim(regexp_replace(template || ' ', '(\* )+', '* ', 'g')) as collapsed, cast(len(list_filter(w, lambda x: try_cast(x as double) is not null)) as integer) as numbers,
+        len(list_filter(w, lambda x: x = 'for')) > 0 and list_position(w, 'for') < coalesce(list_position(list_reverse(w), '*') * -1 + len(w) + 1, 0) as for_then_any from t""")
+def template_forms(spark, sf_dir):
+    """Collapsed templates, how many of their words are numbers, and whether ``for`` comes before a ``*``."""
+    words = F.split("template", " ", -1)
+    contained = similarity.is_subsequence(F.array(F.lit("for"), F.lit("*")), words)
+    return _known(spark, sf_dir).select("event_id", tokens.collapse_stars(F.col("template")).alias("collapsed"), F.size(F.filter(words, tokens.is_float)).alias("numbers"), contained.alias("for_then_any"))
+
+
 @query()
 def lcs_of_neighbours(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
@@ -194,10 +223,38 @@ def record_assembly_digit(spark, sf_dir):
     return assembly.assembled(lines, "log_id", "line_no", "line", assembly.starts_with_two(F.col("line")))
 
 
-@query(_assembled_sql("event_type_ansible", "log_id", "log_txt", "length(line) not between 1 and 19 and try_strptime(substr(line, 1, 19), '%Y-%m-%d %H:%M:%S') is not null", False))
+# written from how a file is read: a line but the last keeps its line end, the first one opens, nothing is put between
+_STREAMED = r"""
+    with pieces as (select log_id, string_split(log_txt, chr(10)) as a from event_type_ansible where log_txt is not null),
+    lines as (select log_id, generate_subscripts(a, 1) as i, unnest(a) as bare, len(a) as n from pieces),
+    ended as (select log_id, i, bare, case when i < n then bare || chr(10) else bare end as line from lines),
+    judged as (select *, i = 1 or (not (length(line) between 1 and 19) and regexp_matches(left(line, 19), '^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$')
+        and try_strptime(regexp_replace(left(line, 19), ':6[01]$', ':00'), '%Y-%m-%d %H:%M:%S') is not null) as opens from ended),
+    counted as (select *, count(*) filter (where opens) over (partition by log_id order by i rows unbounded preceding) as record from judged),
+    joined as (select log_id, record, replace(string_agg(line, '' order by i), chr(10), '') as text from counted group by all)"""
+
+
+def _streamed(spark: SparkSession, sf_dir: str, compat: bool) -> DataFrame:
+    rows = table(spark, sf_dir, "event_type_ansible").where("log_txt is not null")
+    lines = rows.select("log_id", F.posexplode(F.split("log_txt", "\n", -1)).alias("line_no", "line"))
+    ended = lines.withColumn("ended", F.lead("line_no").over(W.partitionBy("log_id").orderBy("line_no")).isNotNull())
+    return assembly.stream_records(ended, "log_id", "line_no", "line", F.col("ended"), compat)
+
+
+@query(_STREAMED + r""" select log_id, record, regexp_replace(regexp_replace(text, '(?s)\{.*\}', ''), '(?s)\(.*\)', '') as text from joined qualify record < max(record) over (partition by log_id)""")
 def record_assembly_stream(spark, sf_dir):
-    lines = _lines(table(spark, sf_dir, "event_type_ansible"), "log_id", "log_txt")
-    return assembly.assembled(lines, "log_id", "line_no", "line", assembly.starts_with_date(F.col("line")), flush_last=False)
+    return _streamed(spark, sf_dir, True)
+
+
+@query(_STREAMED + r""" select log_id, record, regexp_replace(regexp_replace(text, '(?s)\{.*\}', ''), '(?s)\(.*\)', '') as text from joined""")
+def record_assembly_whole_stream(spark, sf_dir):
+    return _streamed(spark, sf_dir, False)
+
+
+@query(f"""select log_id, {_found_sql(formal.PID)} as pid, {_found_sql(formal.IP)} as ip, {_found_sql(formal.POD_ID)} as pod_id from event_type_ansible where log_txt is not null""")
+def line_ids(spark, sf_dir):
+    rows, text = table(spark, sf_dir, "event_type_ansible").where("log_txt is not null"), F.col("log_txt")
+    return rows.select("log_id", formal.line_pid(text).alias("pid"), formal.line_ip(text).alias("ip"), formal.line_pod_id(text).alias("pod_id"))
 
 
 # ---- templates ----------------------------------------------------------------------------------
@@ -277,6 +334,74 @@ _mined("bsgi_messages", miners.mine_bsgi, "iaas_filtered")
 _mined("drain_messages", miners.mine_drain, "iaas_filtered")
 
 
+# A small fixed corpus, with the events its messages were traced to by hand from the definitions of the miners.
+CORPUS = [
+    "blk 124219214 asa Receive from node 4", "blk 124219214 ffwqwq 1241241 Done to node 4", "blk 124219214 ffwqwq Done to node 4",
+    "blk 782174184 Instance raer1421MManf142v Receive from node 356", "Tcp net down daafa aswf qe 1241", "Tcp net down daafa 12 qe 1241",
+    "Tcp qws down daafa 214 qe 1241", "Tcp qws down daafa 421 qe 1241", "Tcp qws down daafa 14 qe 1241", "delete block_1", "delete block_3 block_4", "delete block_6",
+]
+_TRACED = {
+    "bsg": [("blk digit_* * * * node digit_*", [1, 3]), ("Tcp * down daafa * qe digit_*", [5, 6, 7, 8, 9]), ("blk digit_* ffwqwq digit_* Done to node digit_*", [2]),
+        ("blk digit_* Instance raerdigit_*MManfdigit_*v Receive from node digit_*", [4]), ("delete block_digit_*", [10, 12]), ("delete block_digit_* block_digit_*", [11])],
+    "bsgi": [("blk digit_* from node digit_*", [1]), ("blk digit_* to node digit_*", [3]), ("Tcp * down daafa aswf qe digit_*", [5]), ("Tcp * down daafa digit_* qe digit_*", [6, 7, 8, 9]),
+        ("blk digit_* ffwqwq digit_* Done to node digit_*", [2]), ("blk digit_* Instance raerdigit_*MManfdigit_*v Receive from node digit_*", [4]), ("delete block_digit_*", [10, 12]), ("delete block_digit_* block_digit_*", [11])],
+    "drain": [("blk digit_* * * * node digit_*", [1, 3]), ("blk digit_* * * * * node digit_*", [2, 4]), ("Tcp net down daafa * qe digit_*", [5, 6]), ("Tcp qws down daafa digit_* qe digit_*", [7, 8, 9]),
+        ("delete block_digit_*", [10]), ("delete block_digit_* block_digit_*", [11]), ("delete block_digit_*", [12])],
+    "draga": [("blk digit_* * * * node digit_*", [1, 3]), ("blk digit_* * * * * node digit_*", [2, 4]), ("Tcp net down daafa * qe digit_*", [5, 6]), ("Tcp qws down daafa digit_* qe digit_*", [7, 8, 9]),
+        ("delete block_digit_*", [10, 12]), ("delete block_digit_* block_digit_*", [11])],
+    "spell": [("blk digit_* * Receive from node digit_*", [1, 4]), ("blk digit_* ffwqwq * Done to node digit_*", [2, 3]), ("Tcp * down daafa * qe digit_*", [5, 6, 7, 8, 9]), ("delete block_digit_*", [10, 11, 12])],
+    "first_fit": [("blk asa Receive from node", [1]), ("blk ffwqwq Done to node", [2, 3]), ("blk Instance raerMManfv Receive from node", [4]), ("Tcp net down daafa aswf qe", [5]), ("Tcp down daafa qe", [6, 7, 8, 9]), ("delete block_", [10, 12]), ("delete block_ block_", [11])],
+}
+_MINERS = {"bsg": miners.mine_bsg, "bsgi": miners.mine_bsgi, "drain": miners.mine_drain, "draga": miners.mine_draga, "spell": miners.mine_spell, "first_fit": miners.mine_first_fit}
+
+
+def corpus(spark: SparkSession) -> DataFrame:
+    """The fixed corpus, tokenised for all miners."""
+    rows = spark.createDataFrame(list(enumerate(CORPUS, 1)), "log_id long, message string")
+    return rows.withColumns({"tokens": tokens.tokenize(tokens.mask(F.col("message"), "generic")), "words": tokens.stripped_words(F.col("message"))})
+
+
+def _golden(name: str) -> None:
+    rows = ", ".join(f"({i}, '{t}')" for t, ids in _TRACED[name] for i in ids)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        mined = _MINERS[name](corpus(spark))
+        return mined.assignments.join(mined.templates, "event").select("log_id", "template")
+
+    QUERIES[f"{name}_golden"], ORACLE[f"{name}_golden"] = run, f"select cast(log_id as bigint) as log_id, template from (values {rows}) v(log_id, template)"
+
+
+for _name in _TRACED:
+    _golden(_name)
+
+
+@query("select cast(12 as bigint) as log_id, cast(7 as bigint) as event, 'delete block_digit_*' as template")
+def classify_golden(spark, sf_dir):
+    rows = corpus(spark)
+    return miners.classify(rows, rows.where("log_id = 12"))
+
+
+def _invariants(name: str, same_length: bool) -> None:
+    """What any assignment must fulfil, message by message: one event, and each constant of its template at its place."""
+    sql = f"""with t as (select log_id, string_split_regex({_masked_sql('iaas', 'message')}, ' |\\.') as l from iaas_filtered where message is not null)
+        select log_id, cast(1 as bigint) as events, true as fits from t where len(l) > 0"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "iaas_filtered").select("log_id", tokens.tokenize(tokens.mask(F.col("message"), "iaas")).alias("tokens"))
+        mined = _MINERS[name](rows)
+        both = mined.assignments.join(mined.templates, "event").join(rows, "log_id")
+        t = F.split("template", " ", -1)
+        at_place = (F.size(t) == F.size("tokens")) & ~F.exists(F.zip_with(t, "tokens", lambda a, b: (a != "*") & (a != b)), lambda x: x)
+        in_order = similarity.is_subsequence(F.filter(t, lambda x: x != "*"), F.col("tokens"))
+        return both.groupBy("log_id").agg(F.count("*").alias("events"), F.bool_and(at_place if same_length else in_order).alias("fits"))
+
+    QUERIES[f"{name}_assignments"], ORACLE[f"{name}_assignments"] = run, sql
+
+
+for _name, _same in (("bsg", True), ("drain", True), ("bsgi", False), ("spell", False)):
+    _invariants(_name, _same)
+
+
 @query()
 def first_fit_sweep(spark, sf_dir):
     return miners.first_fit_sweep(rendered(spark, sf_dir))

@@ -10,12 +10,12 @@ from logloom.functions import similarity
 from logloom.functions.formal import formal_fields, valid_date
 from logloom.functions.tokens import mask, read_rules, tokenize
 from logloom.operators import miners
-from logloom.operators.assembly import assembled, starts_with_date, starts_with_two
+from logloom.operators.assembly import assembled, starts_with_date, starts_with_two, stream_records
 from logloom.operators.graph import dot
 from logloom.operators.nextkey import WorkflowBuilder, workflow_edges
 from logloom.sources import readers, sinks
 from logloom.sources.formalize import formalize
-from logloom.streaming.online import assemble_stream, mine_bsg_stream, windowed_counts
+from logloom.streaming.online import STREAMED, assemble_stream, mine_bsg_stream, mine_stream, parse_stream, records_of, windowed_counts
 
 RAW = ["2018-10-15 10:00:00.123 99 INFO one", "  two", "", "2018-10-15 10:00:01 ERROR three", "2018-10-15 10:00:02 done"]
 
@@ -149,7 +149,7 @@ def test_streams(spark, tmp_path):
         logs.where(f"log_id div 4 = {i}").coalesce(1).write.parquet(str(tmp_path / "m"), mode="append")
     stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "m"))
     _run(mine_bsg_stream(stream), "mined")
-    last = spark.sql("select pos, key, cluster, max_by(template, log_id) as template, count(*) as n from mined group by all")
+    last = spark.sql("select grp, cluster, max_by(template, log_id) as template, count(*) as n from mined group by all")
     want = miners.mine_bsg(logs).templates
     assert sorted((r.template, r.n) for r in last.collect()) == sorted((r.template, r.n) for r in want.collect())
 
@@ -162,3 +162,47 @@ def test_streams(spark, tmp_path):
     events.coalesce(1).write.parquet(str(tmp_path / "e"))
     _run(windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")), "t", "e"), "counted")
     assert [r.n for r in spark.sql("select n from counted").collect()] == [5]
+
+
+STREAM = "opens without a date\n2018-10-15 10:00:00 {a} one (x) two\n  more\n2018-10-15 10:00:01\n2018-10-15 10:00\n2018-13-15 10:00:02 no date\n2018-10-15 10:00:61 leap\n2018-10-15 10:00:03"
+
+
+def test_stream_records(spark):
+    want = ["opens without a date", "2018-10-15 10:00:00  one  two  more", "2018-10-15 10:00:012018-10-15 10:002018-13-15 10:00:02 no date", "2018-10-15 10:00:61 leap2018-10-15 10:00:03"]
+    assert records_of(STREAM, compat=False) == want and records_of(STREAM) == want[:-1] and records_of("") == []
+    pieces = STREAM.split("\n")
+    lines = spark.createDataFrame([("f", i, t, i < len(pieces) - 1) for i, t in enumerate(pieces)], "source string, i int, line string, ended boolean")
+    for compat in (True, False):
+        got = stream_records(lines, "source", "i", "line", F.col("ended"), compat).orderBy("record").collect()
+        assert [r.text for r in got] == records_of(STREAM, compat)
+
+
+@pytest.mark.parametrize("miner", sorted(STREAMED))
+def test_streams_of_all_miners(spark, tmp_path, miner):
+    texts = ["blk 1 a to x", "blk 2 b to x", "net down 5", "net up 6", "blk 3 c to y", "tcp 5 lost 7 of 9", "tcp lost"] * 6
+    logs = spark.createDataFrame(list(enumerate(texts)), "log_id long, message string").withColumn("tokens", tokenize(mask(F.col("message"), "generic")))
+    for i in range(3):
+        logs.where(f"log_id div 14 = {i}").coalesce(1).write.parquet(str(tmp_path / "m"), mode="append")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "m"))
+    _run(mine_stream(stream, miner), f"mined_{miner}")
+    rows = spark.sql(f"select * from mined_{miner} order by log_id").collect()
+    got = {r.log_id: (r.grp, r.key if miner == "bsgi" else "", r.cluster) for r in rows}
+    if miner in ("bsg", "bsgi", "first_fit"):  # in a batch clusters of one text are one event
+        last = {got[r.log_id]: r.template for r in rows}
+        form = {"bsg": str, "bsgi": lambda t: miners.collapsed(t.split(" ")), "first_fit": lambda t: miners.constants_text(t.split(" "))}[miner]
+        got = {i: form(last[c]) for i, c in got.items()}
+    one = {"bsg": miners.mine_bsg, "drain": miners.mine_drain, "spell": miners.mine_spell, "draga": lambda x: miners.mine_draga(x, threshold=1.0), "bsgi": lambda x: miners.mine_bsgi(x, few=0), "first_fit": lambda x: miners.mine_first_fit(x, words="tokens")}[miner]
+    want = {r.log_id: r.event for r in one(logs).assignments.collect()}
+    same = lambda of: {frozenset(i for i in of if of[i] == v) for v in set(of.values())}
+    assert got.keys() == want.keys() and same(got) == same(want)
+
+
+def test_parse_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.log").write_text("".join(f"2018-10-15 10:00:0{i} INFO connect to node {i}\n  tail\n" for i in range(5)))
+    q = parse_stream(spark, str(tmp_path / "in"), "drain", "generic").writeStream.format("memory").queryName("parsed").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.sql("select * from parsed").collect()
+    assert len(rows) == 8 and {r.record for r in rows} == {1, 2, 3, 4} and len({(r.grp, r.cluster) for r in rows}) == 1

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.functions.tokens import mask, stripped_words, tokenize
+from logloom.functions.tokens import key_layer, mask, stripped_words, tokenize
 from logloom.operators import miners
 
 MESSAGES = [
@@ -77,3 +77,86 @@ def test_null_and_empty(spark, logs):
     for mine in (miners.mine_bsg, miners.mine_bsgi, miners.mine_drain, miners.mine_draga, miners.mine_spell):
         assert mine(odd).assignments.count() == 12
         assert mine(odd.limit(0)).templates.count() == 0
+
+
+def _logs(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "log_id long, message string")
+    return df.withColumn("tokens", tokenize(F.col("message"))).withColumn("words", stripped_words(F.col("message")))
+
+
+def test_leading_blank_is_a_clean_key(spark):
+    keys = _logs(spark, [" a 1"]).select(key_layer(F.col("tokens")).alias("k")).first().k
+    assert (keys.pos, keys.key) == (9, "")
+
+
+def _groups(mined):
+    return sorted(ids for _, ids in result(mined))
+
+
+def test_index_is_skipped_in_another_key(spark):
+    # keys b and a interleave in one length: after a's first cluster was used, b's first one is passed over
+    logs = _logs(spark, ["a x y z", "b x y z", "a x y z", "b x y z"])
+    assert len(_groups(miners.mine_bsgi(logs, compat=True))) == 2  # one text is one event, however many clusters
+    state = {c: miners.GiniBuckets(0.7, 20, c) for c in (True, False)}
+    into = {c: [s.step(t[0], t) for t in (m.split() for m in ("a x y z", "b x y z", "a x y z", "b x y z"))] for c, s in state.items()}
+    assert into == {True: [0, 0, 1, 0], False: [0, 0, 0, 0]}
+
+
+def test_unclean_ends_are_never_classified(spark):
+    logs = _logs(spark, ["1 up 2", "1 up 2"])
+    assert [(r.event, r.template) for r in miners.classify(logs, logs, compat=True).collect()] == [(-1, "")] * 2
+    assert [r.event for r in miners.classify(logs, logs, compat=False).collect()] == [1, 1]
+
+
+def test_short_messages_stay_apart_in_the_tree(spark):
+    logs = _logs(spark, ["go on", "go on", "go on", "stay here now", "stay here now"])
+    assert _groups(miners.mine_drain(logs)) == [[1], [2], [3], [4, 5]]
+    assert _groups(miners.mine_drain(logs, compat=False)) == [[1, 2, 3], [4, 5]]
+
+
+def test_full_layer_hides_messages(spark):
+    logs = _logs(spark, ["a p", "b q", "d s", "a p", "d s"])
+    # two nodes and the catch-all make three: d goes to the catch-all and isn't found there again
+    assert _groups(miners.mine_draga(logs, children=3)) == [[1, 4], [2], [3], [5]]
+    assert _groups(miners.mine_draga(logs, children=3, compat=False)) == [[1, 4], [2], [3, 5]]
+
+
+def test_tree_walk_passes_tokens_over(spark):
+    logs = _logs(spark, ["delete block", "delete other block"])
+    assert _groups(miners.mine_spell(logs, threshold=0.9)) == [[1, 2]]
+    logs = _logs(spark, ["delete block", "delete a b c d block"])
+    assert _groups(miners.mine_spell(logs, threshold=0.9)) == [[1, 2]]
+    assert _groups(miners.mine_spell(logs, threshold=0.9, compat=False)) == [[1], [2]]
+
+
+def test_entropies_of_the_last_cluster(spark):
+    texts = ["k a b c d", "k a b c e", "k q w c d", "k q w c f", "k a w c g", "k q b c d", "k a b x d", "k a w c d", "k q w c e"] * 3
+    for compat in (True, False):
+        state = miners.EntropyBucket(0.7, 20, compat)
+        plain = _PlainBucket(0.7, 20, compat)
+        assert [state.step(t.split()) for t in texts] == [plain.step(t.split()) for t in texts]
+        assert [c["entropy"] for c in state.clusters] == [c["entropy"] for c in plain.clusters]
+
+
+class _PlainBucket(miners.EntropyBucket):
+    """One cluster after another, as the miner is defined."""
+
+    def step(self, tokens):
+        best, change = None, {}
+        for k, c in enumerate(self.clusters):
+            differ = sum(a != b for a, b in zip(c["template"], tokens, strict=True))
+            got = self._change(c, tokens) if differ <= miners._limit(c) else None
+            change = got[1] if got else {}
+            if got and (best is None or got[0] < best[1]):
+                best = (k, *got)
+        if best is None:
+            return super().step(tokens)
+        c = self.clusters[best[0]]
+        new = miners.merged(c["template"], tokens)
+        c["nc"], c["template"], c["n"] = sum(a == b for a, b in zip(c["template"], tokens, strict=True)), new, c["n"] + 1
+        for seen, t in zip(c["seen"], tokens, strict=True):
+            seen[t] += 1
+        for i, e in (change if self.compat else best[2]).items():
+            c["entropy"][i] = e
+        self.codes.put(best[0], new, miners._limit(c))
+        return best[0]
