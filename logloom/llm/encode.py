@@ -253,10 +253,12 @@ def _worker(key: str, ranks: dict[bytes, int]) -> Encoder:
     return _encoder(key)
 
 
-def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, with_offsets: bool = False) -> DataFrame:
     """``key, ids``: the token ids of every text, without special tokens; an empty list for empty and null texts.
 
     The names of special tokens are ordinary text. The vocabulary (fixed size) is broadcast. No shuffle.
+    ``with_offsets`` adds ``offsets``, where each piece starts in the text (in code points), and ``piece_ids``,
+    the number of ids up to its end: any stretch of ids can so be found in the text again.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(name, folder))
 
@@ -266,11 +268,33 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in _parts(texts):
                 ids, ends = encoder.ids(texts[a:b])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["key", "ids"])
+                lists = [_lists(ids, ends)]
+                if with_offsets:
+                    numbers, piece_ends, offsets = encoder.pieces(texts[a:b])
+                    n = encoder.ends[numbers + 1] - encoder.ends[numbers]
+                    before = np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(piece_ends, prepend=0))
+                    lists += [_lists(offsets, piece_ends), _lists(np.cumsum(n) - before, piece_ends)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["key", "ids", "offsets", "piece_ids"][: 1 + len(lists)])
 
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "key long, ids array<int>").withColumnRenamed("key", key)
+    return slim.mapInArrow(run, "key long, ids array<int>" + (", offsets array<int>, piece_ids array<int>" if with_offsets else "")).withColumnRenamed("key", key)
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def decoded(ids: DataFrame, key: str = "doc_id", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """``key, text``: the texts of token ids; an empty text for empty and null lists. Ids that aren't in the vocabulary are an error."""
+    ranks = ids.sparkSession.sparkContext.broadcast(read_ranks(name, folder))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = {v: k for k, v in ranks.value.items()}
+        for batch in batches:
+            texts = [b"".join(map(back.__getitem__, x or ())).decode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["key", "text"])
+
+    return ids.select(F.col(key).cast("long").alias("key"), "ids").mapInArrow(run, "key long, text string").withColumnRenamed("key", key)
 
 
 def token_sizes(docs: DataFrame, keep: list[str], text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

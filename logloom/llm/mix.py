@@ -7,16 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.session import staged
 
-#: Sources the targets may name; they are planned on the driver.
-MAX_SOURCES = 10_000
-
-
 def source_name(source: Column) -> Column:
     """Sources that differ only in case, outer blanks or ``-`` for ``_`` are one."""
     return F.lower(F.replace(F.trim(source), F.lit("-"), F.lit("_")))
@@ -62,11 +59,11 @@ def _goals(plans: dict[str, Plan], total: float | None) -> None:
             p.rest = max(0.0, p.goal - p.whole * p.tokens) if p.whole < p.max_repeats else 0.0
 
 
-def _by_source(plans: dict[str, Plan], what: str) -> Column:
-    out = F.lit(None).cast("double")
-    for s, p in plans.items():
-        out = F.when(F.col("source") == s, float(getattr(p, what))).otherwise(out)
-    return out
+def _planned(spark: SparkSession, plans: dict[str, Plan], *what: str) -> DataFrame:
+    """The plans as a table ``source`` and one column for each of ``what``: joined, not written out as cases."""
+    # a local table, so that its size is known and Spark broadcasts it where it is small
+    columns = {"source": pa.array(list(plans), pa.string())} | {w: pa.array([float(getattr(p, w)) for p in plans.values()], pa.float64()) for w in what}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def mixed(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42) -> tuple[DataFrame, dict[str, Plan]]:
@@ -83,15 +80,17 @@ def mixed(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = Non
     (Pareto order sampling) and taken in this order as long as that brings the tokens closer to the rest,
     so the share is met to within half a document. The random number depends on ``doc_id`` and ``seed`` only.
 
+    The targets' sources, one plan each of some hundred bytes, are planned on the driver, whatever their number;
+    documents get their source's plan by a join.
+
     Ranks are running sums over a range partitioning by (source, rank key): a source of most documents is
     ranked by many tasks.
     """
-    rows = targets.where("source is not null and weight is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("weight").alias("w"), F.max("max_repeats").alias("m")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources with targets")
+    spark = sizes.sparkSession
+    rows = targets.where("source is not null and weight is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("weight").alias("w"), F.max("max_repeats").alias("m")).collect()
     plans = {r["source"]: Plan(float(r["w"]), int(r["m"] or 0)) for r in rows}
     size = F.col("n_tokens").cast("double")
-    known = sizes.where(F.col("source").isin(list(plans)) & (F.col("n_tokens") > 0))
+    known = sizes.where("n_tokens > 0").join(_planned(spark, plans), "source", "left_semi")
     for r in known.groupBy("source").agg(F.count("*").alias("d"), F.sum("n_tokens").alias("t"), F.sum(size * size).alias("q")).collect():
         p = plans[r["source"]]
         p.docs, p.tokens, p.squares = r["d"], r["t"], r["q"]
@@ -99,22 +98,25 @@ def mixed(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = Non
     for p in plans.values():
         p.factor = p.rest / p.squares if p.rest else 0.0
     while True:  # odds that would exceed 1 are 1; the others make up for it, until nothing changes
-        bound = _by_source({s: Plan(0, 0, factor=1 / p.factor if p.factor else float("inf")) for s, p in plans.items()}, "factor")
-        sums = known.groupBy("source").agg(F.sum(F.when(size >= bound, size).otherwise(0.0)).alias("c"), F.sum(F.when(size < bound, size * size).otherwise(0.0)).alias("q")).collect()
+        bounds = {s: Plan(0, 0, certain=1 / p.factor) for s, p in plans.items() if p.factor}
+        sure = size >= F.col("certain")
+        each = known.join(_planned(spark, bounds, "certain"), "source").groupBy("source")
+        sums = each.agg(F.sum(F.when(sure, size).otherwise(0.0)).alias("c"), F.sum(F.when(sure, 0.0).otherwise(size * size)).alias("q")).collect()
         changed = False
         for r in sums:
             p = plans[r["source"]]
-            if p.factor and r["c"] > 0 and (1 / p.factor) < p.certain:
+            if r["c"] > 0 and (1 / p.factor) < p.certain:
                 p.certain, changed = 1 / p.factor, True
                 p.factor = max(p.rest - r["c"], 0.0) / r["q"] if r["q"] else 0.0
         if not changed:
             break
-    sure = size >= _by_source(plans, "certain")
-    odds = F.least(F.lit(1 - 1e-12), size * _by_source(plans, "factor"))
+    sure = size >= F.col("certain")
+    odds = F.least(F.lit(1 - 1e-12), size * F.col("factor"))
     u = ((F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11)).cast("double") + 0.5) / float(1 << 53)
     key = F.when(sure, -1.0).otherwise((u / (1 - u)) / (odds / (1 - odds)))
     # documents of odds 0 are no candidates, and their key would be infinite
-    open_ = known.where(_by_source(plans, "rest") > 0).where(sure | (odds > 0)).select("doc_id", "source", "n_tokens", key.alias("key"))
+    drawn = _planned(spark, {s: p for s, p in plans.items() if p.rest > 0}, "certain", "factor", "rest")
+    open_ = known.join(drawn, "source").where(sure | (odds > 0)).select("doc_id", "source", "n_tokens", key.alias("key"), "rest")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -125,15 +127,15 @@ def mixed(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = Non
             batch["running"] = local + batch["source"].map(carried).fillna(0).astype(np.int64)
             carried |= batch.groupby("source", sort=False)["running"].last().to_dict()
             batch["part"] = part
-            yield batch[["doc_id", "source", "n_tokens", "running", "part"]]
+            yield batch[["doc_id", "source", "n_tokens", "running", "part", "rest"]]
 
     ordered = open_.repartitionByRange("source", "key", "doc_id").sortWithinPartitions("source", "key", "doc_id")
-    ranked = staged(ordered.mapInPandas(run, "doc_id long, source string, n_tokens long, running long, part int"), "ranked")
+    ranked = staged(ordered.mapInPandas(run, "doc_id long, source string, n_tokens long, running long, part int, rest double"), "ranked")
     before = ranked.groupBy("source", "part").agg(F.max("running").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    more = ranked.join(before, ["source", "part"]).where(F.col("_before") + F.col("running") - size / 2 <= _by_source(plans, "rest")).select("doc_id", F.lit(1).alias("_more"))
-    whole = F.when(F.col("n_tokens") > 0, F.coalesce(_by_source(plans, "whole"), F.lit(0))).otherwise(0).cast("long")
-    out = sizes.join(more, "doc_id", "left").select("doc_id", "source", "n_tokens", (whole + F.coalesce("_more", F.lit(0))).alias("copies"))
-    return out, plans
+    more = ranked.join(before, ["source", "part"]).where(F.col("_before") + F.col("running") - size / 2 <= F.col("rest")).select("doc_id", F.lit(1).alias("_more"))
+    whole = F.when(F.col("n_tokens") > 0, F.coalesce("whole", F.lit(0.0))).otherwise(0.0).cast("long")
+    out = sizes.join(_planned(spark, plans, "whole"), "source", "left").join(more, "doc_id", "left")
+    return out.select("doc_id", "source", "n_tokens", (whole + F.coalesce("_more", F.lit(0))).alias("copies")), plans
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:

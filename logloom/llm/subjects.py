@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -14,18 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.mix import source_name
+from logloom.session import staged
 
 #: Labelled documents whose labels lexicon and chain are fitted on at most, by hash of the id.
 MAX_TRAINING = 20_000
-#: Terms of the lexicon at most, the most telling first; the lexicon is broadcast.
-MAX_TERMS = 60_000
 #: Words that make a block of text a paragraph.
 MIN_WORDS = 6
 #: Share of the paragraphs that makes a subject one of the document.
 MIN_SHARE = 0.25
-#: Least documents of a term with one and the same subject, and their least share of all its documents (two more being
-#: taken to be of other subjects): while documents count for all their labels, and once paragraphs count for one.
-TELLING = [(2, 0.4), (2, 0.4), (3, 0.5)]
+#: Least documents of a term with one and the same subject, as a number and as a share of all that are counted, and their
+#: least share of all its documents (two more being taken to be of other subjects): while documents count for all their
+#: labels, once paragraphs count for one, and over all documents. The share bounds the lexicon, which is broadcast, by the
+#: terms of a document over the share, whatever the number of documents.
+TELLING = [(2, 1e-3, 0.4), (2, 1e-3, 0.4), (3, 3e-4, 0.5)]
 #: By how much a paragraph's best subject must lead to count where its document has no labels.
 LEAD = 1.0
 #: Counted terms after which a task hands on its counts.
@@ -147,7 +149,7 @@ def _lexicon(training: DataFrame, subjects: list[str], known: Lexicon | None, le
     Without a lexicon known, a document counts for all its labels. With one, each paragraph counts for its
     best subject, if that is one of the document's labels or the document has none and the lead is clear.
     """
-    least, share = TELLING[level]
+    number, part, share = TELLING[level]
 
     def into(labels: list[int] | None, paras: list[list[str]]) -> list[list[int]]:
         out = [list(labels) if labels is not None else []] * len(paras)
@@ -175,9 +177,9 @@ def _lexicon(training: DataFrame, subjects: list[str], known: Lexicon | None, le
             return out
 
         for batch in batches:
-            for text, labels in zip(batch["text"], batch["labels"], strict=True):
+            for words, labels in zip(batch["words"], batch["labels"], strict=True):
                 seen: dict[int, set[str]] = {}
-                paras = paragraphs(text)
+                paras = unpacked(words)
                 for words, own in zip(paras, into(labels, paras), strict=True):
                     for s in own:
                         seen.setdefault(s, set()).update(terms_of(words))
@@ -189,8 +191,9 @@ def _lexicon(training: DataFrame, subjects: list[str], known: Lexicon | None, le
 
     by = training.mapInPandas(count, "term string, s int, n long").groupBy("term", "s").agg(F.sum("n").alias("n"))
     cells = by.groupBy("term").agg(F.sum("n").alias("all"), F.max(F.when(F.col("s") >= 0, F.col("n"))).alias("most"), F.collect_list(F.struct("s", "n")).alias("cells"))
-    telling = cells.where((F.col("most") >= least) & (F.col("most") / (F.col("all") + 2) >= share)).orderBy(F.desc("most"), "term").limit(MAX_TERMS)
-    found = telling.select("term", "cells").collect()
+    least = max(number, math.ceil(training.count() * part))
+    telling = cells.where((F.col("most") >= least) & (F.col("most") / (F.col("all") + 2) >= share))
+    found = telling.select("term", "cells").orderBy("term").collect()
     counts = np.zeros((len(found), len(subjects)))
     for i, r in enumerate(found):
         for c in r["cells"]:
@@ -200,14 +203,35 @@ def _lexicon(training: DataFrame, subjects: list[str], known: Lexicon | None, le
     return Lexicon.of(subjects, [r["term"] for r in found], evidence)
 
 
-def features(lexicon: Lexicon, text: str | None, source: str | None, sources: list[str]) -> np.ndarray:
+def unpacked(words: str) -> list[list[str]]:
+    """Paragraphs as ``stripped`` stores them."""
+    return [p.split(" ") for p in words.split("\n")] if words else []
+
+
+def stripped(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, words, structure`` of the documents with text, stored: their paragraphs are read once.
+
+    ``words`` has a line a paragraph; ``structure`` says what the LaTeX text is made of.
+    """
+
+    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words, structure = [], []
+            for text in batch["text"]:
+                paras = paragraphs(text)
+                words.append("\n".join(map(" ".join, paras)))
+                structure.append([1.0, float(np.log1p(len(paras))), *(float(x in text) for x in ("\\begin{abstract}", "\\begin{document}", "\\begin{thebib")), float(np.log1p(text.count("\\section")))])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "words": words, "structure": structure})
+
+    slim = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text").where("text is not null")
+    return staged(slim.mapInPandas(strip, "doc_id long, source string, words string, structure array<double>"), "words")
+
+
+def features(lexicon: Lexicon, words: str, structure: np.ndarray, source: str | None, sources: list[str]) -> np.ndarray:
     """Term, structure and source features of a document, in that order; see ``_link`` for their layout."""
-    paras = paragraphs(text) if text else []
+    paras = unpacked(words)
     share, mean = lexicon.shares(paras)
-    n = len(paras)
-    body = text or ""
-    structure = [1.0, float(np.log1p(n)), float("\\begin{abstract}" in body), float("\\begin{document}" in body), float("\\begin{thebib" in body), float(np.log1p(body.count("\\section")))]
-    return np.concatenate([share, mean, structure, [float(source == s) for s in sources], [float(n > 0)]])
+    return np.concatenate([share, mean, structure, [float(source == s) for s in sources], [float(len(paras) > 0)]])
 
 
 def _before(labels: np.ndarray, j: int) -> np.ndarray:
@@ -254,7 +278,7 @@ class Chain:
     subjects: list[str]
     common: np.ndarray
     weights: list[np.ndarray]
-    scale: tuple[float, float]
+    scales: list[tuple[float, float]]
 
     @classmethod
     def fitted(cls, subjects: list[str], x: np.ndarray, y: np.ndarray) -> Chain:
@@ -268,13 +292,18 @@ class Chain:
         truth = np.concatenate([y[held, j] for j in range(k)])
         # the prior is that the links are calibrated already
         a, b = _logistic(np.stack([z, np.ones(len(z))], axis=1), truth, 1.0, z) + [1.0, 0.0] if len(z) else (1.0, 0.0)
-        return cls(subjects, common, weights, (max(float(a), 0.1), float(b)))
+        scales = []
+        for j in range(k):  # each link's own calibration leans on the one of all links
+            own = z[j * held.sum() : (j + 1) * held.sum()]
+            c, d = _logistic(np.stack([own, np.ones(len(own))], axis=1), y[held, j], 10.0, a * own + b) if len(own) else (0.0, 0.0)
+            scales.append((max(float(a + c), 0.1), float(b + d)))
+        return cls(subjects, common, weights, scales)
 
     def logits(self, x: np.ndarray, j: int, labels: np.ndarray) -> np.ndarray:
         """Calibrated log odds of the subject ``j`` given the labels before it."""
         k = len(self.subjects)
         inputs = _link(x, j, k, _before(labels, j))
-        a, b = self.scale
+        a, b = self.scales[j]
         return a * (_pooled(inputs, k) @ self.common + inputs @ self.weights[j]) + b
 
     def decoded(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -311,12 +340,12 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
     known = labels.select("doc_id", names[F.lower(F.trim("subject"))].alias("s")).where("s is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("labels"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     labelled = known.orderBy(*order).limit(MAX_TRAINING)
-    slim = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    slim = stripped(docs)
     # at most MAX_TRAINING rows of an id and few numbers are broadcast: the texts stay where they are
-    training = slim.where("text is not null").join(F.broadcast(labelled), "doc_id").persist()
+    training = slim.join(F.broadcast(labelled), "doc_id")
     lexicon = None
     for level in range(len(TELLING)):
-        rows = training if level < 2 else slim.where("text is not null").join(F.broadcast(labelled), "doc_id", "left")
+        rows = training if level < 2 else slim.join(F.broadcast(labelled), "doc_id", "left")
         lexicon = _lexicon(rows, subjects, lexicon, level)
     sources = sorted(r["source"] for r in training.select("source").distinct().collect() if r["source"])
     spark = docs.sparkSession
@@ -324,11 +353,10 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [features(shipped.value, t, s, sources).tolist() for t, s in zip(batch["text"], batch["source"], strict=True)]
+            rows = [features(shipped.value, w, x, s, sources).tolist() for w, x, s in zip(batch["words"], batch["structure"], batch["source"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "x": rows, "labels": batch["labels"]})
 
     train = training.mapInPandas(measure, "doc_id long, x array<double>, labels array<int>").orderBy(*order).toPandas()
-    training.unpersist()
     y = np.zeros((len(train), len(subjects)))
     for i, own in enumerate(train["labels"]):
         y[i, list(own)] = 1
@@ -341,11 +369,11 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFra
         for batch in batches:
             if not len(batch):
                 continue
-            seen = np.stack([features(shipped.value, t, s, sources) for t, s in zip(batch["text"], batch["source"], strict=True)])
+            seen = np.stack([features(shipped.value, w, x, s, sources) for w, x, s in zip(batch["words"], batch["structure"], batch["source"], strict=True)])
             i, j = np.nonzero(chain.value.decoded(seen))
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[i], "subject": np.array(subjects, dtype=object)[j]})
 
-    return slim.where("text is not null").mapInPandas(predict, "doc_id long, subject string")
+    return slim.mapInPandas(predict, "doc_id long, subject string")
 
 
 def makeup(found: DataFrame, docs: DataFrame, areas: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1 / 2000
 #: Heavy terms that are broadcast; candidates beyond it are counted as light ones, with the same result.
 MAX_HEAVY = 4096
+#: Counters with which a task looks for its heavy terms, as a multiple of the most that can be heavy.
+COUNTERS = 8
 #: Distinct light terms after which a task hands on its local counts.
 FLUSH = 200_000
 
@@ -46,33 +48,46 @@ def term_counts(
     'common' above ``max_share`` of the field's rows with text, else null. Rows with null text or field,
     and fields without tokeniser, don't count; empty texts are rows without terms; repeated rows count.
 
-    First every partition proposes the terms that are heavy in it: a term heavy overall is heavy in at
-    least one of them. Heavy terms are then counted in exact arrays, one slot each, in every task; the
-    other terms are counted locally and shuffled; both tables are united.
+    First every partition proposes the terms that are heavy in it, found with a bounded number of counters
+    (Misra and Gries): a term heavy overall is heavy in at least one of them. The heavy terms are then broadcast
+    and counted in exact arrays, one slot each, in every task; the other terms are counted locally and
+    shuffled; both tables are united. The texts are read twice.
     """
     slim = records.select("field", "text").where(F.col("text").isNotNull() & F.col("field").isin(list(how)))
 
+    most = int(COUNTERS / heavy_share)
+
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uses: Counter = Counter()
         rows: Counter = Counter()
+        total = lost = 0
         for batch in batches:
             for field, texts in batch.groupby("field", sort=False)["text"]:
                 rows[field] += len(texts)
                 split = how[field]
-                uses.update((field, t) for x in texts for t in split(x))
-        least = heavy_share * sum(uses.values())
+                for x in texts:
+                    found = split(x)
+                    total += len(found)
+                    uses.update([(field, t) for t in found])
+                    if len(uses) > 2 * most:  # all counters lose what the greatest that must go has
+                        less = sorted(uses.values(), reverse=True)[most]
+                        lost += less
+                        uses = Counter({k: n - less for k, n in uses.items() if n > less})
+        least = heavy_share * total - lost
         out = [(f, t, n) for (f, t), n in uses.items() if n >= least] + [(f, None, n) for f, n in rows.items()]
         if out:
             yield pd.DataFrame(out, columns=["field", "term", "n"])
 
     proposed = slim.mapInPandas(propose, "field string, term string, n long").groupBy("field", "term").agg(F.sum("n").alias("n"))
-    totals = {r["field"]: r["n"] for r in proposed.where("term is null").collect()}
-    top = proposed.where("term is not null").orderBy(F.desc("n"), "field", "term").limit(MAX_HEAVY).collect()
-    slots = {(r["field"], r["term"]): i for i, r in enumerate(top)}
-    names = list(slots)
+    # one action: the fields' rows come first, then the heaviest terms
+    top = proposed.orderBy(F.col("term").isNotNull(), F.desc("n"), "field", "term").limit(len(how) + MAX_HEAVY).collect()
+    totals = {r["field"]: r["n"] for r in top if r["term"] is None}
+    names = [(r["field"], r["term"]) for r in top if r["term"] is not None]
+    shipped = records.sparkSession.sparkContext.broadcast({k: i for i, k in enumerate(names)})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uses, rows = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        slots = shipped.value
+        uses, rows = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
         light: dict[tuple[str, str], list[int]] = {}
 
         def handed() -> pd.DataFrame:
@@ -101,6 +116,7 @@ def term_counts(
             yield handed()
         # empty frames are never handed on: their columns have no type that Arrow could take for text
         if len(at := np.flatnonzero(rows)):
+            names = list(slots)
             yield pd.DataFrame({"field": [names[i][0] for i in at], "term": [names[i][1] for i in at], "occurrences": uses[at], "records": rows[at]})
 
     # a heavy term arrives here as one row a task, a light one as few

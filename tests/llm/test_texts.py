@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logloom.llm import encode
-from logloom.llm.encode import Encoder, encoded, merged, read_ranks, token_sizes
+from logloom.llm.encode import Encoder, decoded, encoded, merged, read_ranks, token_sizes
 from logloom.llm.mix import mixed, shares, source_name
 from logloom.llm.near import similar_classes, similar_pairs
 from logloom.llm.terms import term_counts, terms, value
@@ -36,6 +36,15 @@ def test_term_counts(spark):
     assert term_counts(df.limit(0), {"m": terms}).count() == 0
 
 
+def test_heavy_terms_with_few_counters(spark):
+    r = random.Random(4)
+    texts = [" ".join([f"rare{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", *r.choices(["hot", "warm"], [3, 1], k=3)]) for i in range(6000)]
+    df = spark.createDataFrame([("m", t) for t in texts], "field string, text string")
+    got = {x.term: (x.occurrences, x.records) for x in term_counts(df, {"m": terms}, heavy_share=0.1).collect()}
+    uses, rows = Counter(t for x in texts for t in terms(x)), Counter(t for x in texts for t in set(terms(x)))
+    assert got == {t: (uses[t], rows[t]) for t in uses}
+
+
 def _similar(a, b):
     x, y = Counter(a.lower().split()), Counter(b.lower().split())
     return sum((x & y).values()) >= 0.75 * sum((x | y).values())
@@ -112,6 +121,22 @@ def test_encoded_table(spark, reference):
     assert sorted((r.doc_id, r.n_tokens) for r in token_sizes(df, ["doc_id"]).collect()) == [(1, 3), (2, 0), (3, 0), (3, 0)]
 
 
+def test_offsets_and_decoding(spark):
+    texts = ["It's  naïve\n\n  don't<|endoftext|> 超时 🧪", "", None, "x" * 3000 + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in encoded(df, with_offsets=True).collect()}
+    for i, t in enumerate(texts):
+        starts = list(rows[i].offsets)
+        assert starts == sorted(set(starts)) and (not t or (starts[0] == 0 and starts[-1] < len(t)))
+        assert [n for n in rows[i].piece_ids] == sorted(rows[i].piece_ids) and len(starts) == len(rows[i].piece_ids) and (not t or rows[i].piece_ids[-1] == len(rows[i].ids))
+        # every piece decodes to its stretch of the text
+        cuts = [*starts, len(t or "")]
+        ends = [0, *rows[i].piece_ids]
+        back = {v: k for k, v in RANKS.items()}
+        assert [b"".join(back[x] for x in rows[i].ids[a:b]).decode() for a, b in zip(ends, ends[1:], strict=False)] == [t[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if t else True
+    assert {r.doc_id: r.text for r in decoded(encoded(df)).collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
 def test_mix(spark):
     r = random.Random(1)
     rows = [(i, "a" if i % 3 else "b", r.randrange(1, 200)) for i in range(3000)] + [(5000, "c", 0), (5001, None, 50), (5002, "free", 50)]
@@ -135,6 +160,16 @@ def test_mix(spark):
     assert mixed(sizes, targets.limit(0))[0].where("copies > 0").count() == 0
 
 
+def test_mix_of_thousands_of_sources(spark):
+    n = 5000
+    sizes = spark.range(0, 6 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % n).alias("source"), (F.col("id") * 7919 % 200 + 1).alias("n_tokens"))
+    targets = spark.range(0, n).select(F.concat(F.lit("S"), F.col("id")).alias("source"), F.lit(1 / n).alias("weight"), F.lit(2).alias("max_repeats"))
+    mix, plans = mixed(sizes, targets)
+    assert len(plans) == n
+    by = mix.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t"), F.max("copies").alias("m")).collect()
+    assert len(by) == n and all(abs(r.t - plans[r.source].goal) <= 100 and r.m <= 2 for r in by)
+
+
 def test_inclusion_odds(spark):
     """Over many seeds a document of odds p is taken in about p of the mixes."""
     sizes = spark.createDataFrame([(i, "a", 10 if i % 2 else 30) for i in range(60)], "doc_id long, source string, n_tokens long").cache()
