@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,15 +49,30 @@ def without_operational(series: DataFrame, order: str = "rn", event: str = "even
 def successors(series: DataFrame, period: float, order: str = "rn", event: str = "event", time: str = "time") -> DataFrame:
     """``start, event, successor, dt``: for every row but the last, the first later row of each other event within ``period`` seconds.
 
-    The rows must be in order of time. The time axis is cut into buckets of one period, so a row's
-    successors lie in its own bucket or the next: an equi-join, no scan of all pairs.
+    The rows must be in order of time. The time axis is cut into buckets of one period, so a row's successors lie
+    in its own bucket or the next. Buckets go through their task backwards, holding the next row of each event:
+    that is rows times events at most, however many rows a period has, and no bucket is held whole.
     """
-    rows = series.select(F.col(order).alias("rn"), F.col(event).alias("event"), F.col(time).cast("double").alias("t")).withColumn("b", F.floor(F.col("t") / period))
+    rows = series.select(F.col(order).cast("long").alias("rn"), F.col(event).alias("event"), F.col(time).cast("double").alias("t")).dropna()
+    kind = rows.schema["event"].dataType.simpleString()
     last = rows.agg(F.max("rn").alias("_last"))
-    left = rows.join(F.broadcast(last)).where("rn < _last").select(F.col("rn").alias("start"), "event", F.col("t").alias("t0"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
-    right = rows.select(F.col("rn").alias("rn2"), F.col("event").alias("successor"), F.col("t").alias("t1"), "b")
-    near = left.join(right, "b").where((F.col("rn2") > F.col("start")) & (F.col("t1") - F.col("t0") < period) & (F.col("successor") != F.col("event")))
-    return near.groupBy("start", "event", "successor").agg(F.min_by(F.col("t1") - F.col("t0"), "rn2").alias("dt"))
+    bucket = F.floor(F.col("t") / period)
+    spread = rows.join(F.broadcast(last)).select("rn", "event", "t", (F.col("rn") < F.col("_last")).alias("starts"), F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("b"), F.lit(False).alias("own")))).alias("_s"))
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, following = None, {}
+        for batch in batches:
+            out = []
+            for b, own, rn, e, t, starts in batch[["b", "own", "rn", "event", "t", "starts"]].itertuples(index=False):
+                if b != at:
+                    at, following = b, {}
+                if own and starts:
+                    out += [(rn, e, x, t1 - t) for x, t1 in following.items() if x != e and 0 <= t1 - t < period]
+                following[e] = t
+            yield pd.DataFrame(out, columns=["start", "event", "successor", "dt"])
+
+    ordered = spread.select("_s.b", "_s.own", "rn", "event", "t", "starts").repartition("b").sortWithinPartitions("b", F.desc("rn"))
+    return ordered.mapInPandas(back, f"start long, event {kind}, successor {kind}, dt double")
 
 
 def supported(found: DataFrame, series: DataFrame, threshold: float, order: str = "rn", event: str = "event") -> DataFrame:
@@ -101,3 +119,12 @@ def dot(edges: DataFrame, name: str = "flow", src: str = "src", dst: str = "dst"
         raise ValueError(f"more than {limit} edges")
     body = "".join(f'  "{r[0]}" -> "{r[1]}" [label="{r[2]}"];\n' for r in rows)
     return f"digraph {name} {{\n{body}}}\n"
+
+
+def observation_matrix(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight", absent: float = -1.0) -> DataFrame:
+    """One row per ``src`` in order, one column per ``dst``: weights, ``absent`` where there is no edge.
+
+    For writing and looking at small graphs; the edge table is the form to compute with.
+    """
+    wide = edges.groupBy(src).pivot(dst).agg(F.first(weight))
+    return wide.fillna(absent, [c for c in wide.columns if c != src]).orderBy(src)

@@ -149,8 +149,9 @@ class EntropyBucket:
             seen[t] += 1
         for i, e in change.items():
             c["entropy"][i] = e
-        c["template"] = new
-        self.codes.put(best[0], new, _limit(c))
+        if new != c["template"] or self.codes.limits[best[0]] != _limit(c):
+            c["template"] = new
+            self.codes.put(best[0], new, _limit(c))
         return best[0]
 
     def _change(self, c: dict, tokens: list[str]) -> tuple[float, dict[int, float]]:
@@ -201,10 +202,12 @@ class GiniBuckets:
     def _take(self, key: str, k: int, tokens: list[str]) -> int:
         c = self.keys[key][k]
         c["nc"] = sum(a == b for a, b in zip(c["template"], tokens, strict=True))
-        c["template"], c["n"] = merged(c["template"], tokens), c["n"] + 1
+        new, c["n"] = merged(c["template"], tokens), c["n"] + 1
         for seen, t in zip(c["seen"], tokens, strict=True):
             seen[t] += 1
-        self.codes[key].put(k, c["template"], _limit(c))
+        if new != c["template"] or self.codes[key].limits[k] != _limit(c):
+            c["template"] = new
+            self.codes[key].put(k, new, _limit(c))
         self.last = (key, k)
         return k
 
@@ -822,27 +825,30 @@ def mine_first_fit(logs: DataFrame, order: str = "log_id", words: str = "words",
 def first_fit_sweep(logs: DataFrame, order: str = "log_id", words: str = "words", thresholds: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
     """``threshold, compactness, distance, quality, best``: mining quality of each threshold; of equal ones the larger is best.
 
-    quality = mean share of constants times the square of the templates' mean least distance. Templates of
-    one threshold, not messages, are compared pair by pair in one task.
+    quality = mean share of constants times the square of the templates' mean least distance. Templates are
+    joined on the pairs of terms they share; those that share none are at distance 1.
     """
     rows = _prepared(logs, order, words, F.size(words).alias("len"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[tuple, list[list[str]]] = {}
-        by_text: dict[str, list[list[str]]] = {}
-        for t in sorted((list(x) for x in pdf["template"]), key=lambda x: (len(x), x)):
-            if constants_text(t):
-                by_text.setdefault(constants_text(t).lower(), []).append(t)
-        for ts in by_text.values():
-            groups.setdefault(term_pairs(ts[0]), ts)
-        kept = [1 - t.count(ANY) / len(t) for ts in groups.values() for t in ts]
-        sets = [set(g) for g in groups]
-        least = [min([1.0, *[1 - len(a & b) / len(a | b) for j, b in enumerate(sets) if i != j]]) for i, a in enumerate(sets)]
-        if not kept:
-            return pd.DataFrame(columns=["threshold", "compactness", "distance", "quality"])
-        c, d = sum(kept) / len(kept), sum(least) / len(least)
-        return pd.DataFrame([(float(pdf["threshold"].iat[0]), c, d, c * d**2)], columns=["threshold", "compactness", "distance", "quality"])
-
     found = _parted(mined(rows, ["threshold", "len"], lambda t, n: Plain(FirstFit(t))))[1].select(F.col("a").cast("double").alias("threshold"), "template")
-    scored = found.groupBy("threshold").applyInPandas(score, "threshold double, compactness double, distance double, quality double")
+
+    def termed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            templates = [list(t) for t in batch["template"]]
+            yield pd.DataFrame({
+                "threshold": batch["threshold"], "len": [len(t) for t in templates], "text": [constants_text(t) for t in templates],
+                "kept": [1 - t.count(ANY) / len(t) for t in templates], "template": templates, "terms": [[json.dumps(x) for x in term_pairs(t)] for t in templates],
+            })
+
+    schema = "threshold double, len int, text string, kept double, template array<string>, terms array<string>"
+    named = found.mapInPandas(termed, schema).where("text <> ''").withColumn("low", F.lower("text"))
+    # texts that differ in case only are one, by their first template; of texts with the same terms the first stands for all
+    texts = named.groupBy("threshold", "low").agg(F.min(F.struct("len", "template", "terms")).alias("f"), F.sum("kept").alias("kept"), F.count("*").alias("n"))
+    groups = texts.groupBy("threshold", F.col("f.terms").alias("terms")).agg(F.min(F.struct("f", "kept", "n", "low")).alias("g"))
+    kept = staged(groups.select("threshold", "terms", F.col("g.kept").alias("kept"), F.col("g.n").alias("n"), F.col("g.low").alias("low")), "groups")
+    terms = kept.select("threshold", "low", F.size(F.array_distinct("terms")).alias("size"), F.explode(F.array_distinct("terms")).alias("term"))
+    other = terms.select("threshold", "term", F.col("low").alias("other"), F.col("size").alias("size2"))
+    shared = terms.join(other, ["threshold", "term"]).where("low <> other").groupBy("threshold", "low", "other", "size", "size2").agg(F.count("*").alias("c"))
+    least = shared.groupBy("threshold", "low").agg(F.min(1 - F.col("c") / (F.col("size") + F.col("size2") - F.col("c"))).alias("d"))
+    scored = kept.join(least, ["threshold", "low"], "left").groupBy("threshold").agg((F.sum("kept") / F.sum("n")).alias("compactness"), F.avg(F.coalesce("d", F.lit(1.0))).alias("distance"))
+    scored = scored.withColumn("quality", F.col("compactness") * F.col("distance") ** 2)
     return scored.withColumn("best", F.row_number().over(W.orderBy(F.desc("quality"), F.desc("threshold"))) == 1)

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.graph import STRETCH
+from logloom.operators.ordering import positions
+
 
 def predict_next(train: DataFrame, target: DataFrame, k: int = 5, n: int = 3) -> DataFrame:
     """``target, item, log_score``: the ``n`` likeliest next items of each target sequence.
 
-    Both have ``seq, pos, item`` (positions from 0). Of a target's last ``k`` items those that training
+    Both have ``seq, pos, item`` (positions from 0, none left out). Of a target's last ``k`` items those that training
     knows must all occur in a similar sequence (any sequence is similar if none is known). After the last
     occurrence of the target's last item, never at a sequence's first place, items not among the ``k``
     score ``1 + 1 / similar + 0.001 / distance``; scores of repeats multiply. Ties go to the smaller item.
     """
-    back = F.row_number().over(W.partitionBy("seq").orderBy(F.desc("pos")))
-    asked = target.withColumn("_b", back).where(F.col("_b") <= k)
+    ends_at = target.groupBy(F.col("seq").alias("_seq")).agg(F.max("pos").alias("_end"))
+    asked = target.join(ends_at, F.col("seq") == F.col("_seq")).where(F.col("pos") > F.col("_end") - k).select("seq", "pos", "item")
     aims = asked.groupBy("seq").agg(F.collect_set("item").alias("own"), F.max_by("item", "pos").alias("last")).withColumnRenamed("seq", "target")
     items = asked.select(F.col("seq").alias("target"), "item").distinct()
     holders = train.select("seq", "item").distinct()
@@ -41,12 +44,30 @@ def predict_next(train: DataFrame, target: DataFrame, k: int = 5, n: int = 3) ->
     return total.withColumn("_r", rank).where(F.col("_r") <= n).select("target", "item", "log_score")
 
 
+def placed(rows: DataFrame, by: str, *order: str, name: str = "pos") -> DataFrame:
+    """``rows`` plus ``name``, a row's place from 0 among those of its ``by`` in order, and ``_rn``, its place among all.
+
+    By exact positions in the order of all rows: an entity that holds most of them spans many tasks.
+    """
+    ranked = positions(rows.where(F.col(by).isNotNull()), by, *order, name="_rn")
+    first = ranked.groupBy(F.col(by).alias("_by")).agg(F.min("_rn").alias("_first"))
+    return ranked.join(first, F.col(by) == F.col("_by")).withColumn(name, F.col("_rn") - F.col("_first")).drop("_by", "_first")
+
+
 def key_windows(series: DataFrame, length: int, by: str, order: str, key: str, compat: bool = True) -> DataFrame:
-    """``by, pos, keys``: sliding windows of ``length + 1`` keys; the last one is dropped (``compat``), as training always did."""
-    own = W.partitionBy(by).orderBy(order)
-    rows = series.select(by, order, key, (F.row_number().over(own) - 1).alias("pos"), F.count("*").over(W.partitionBy(by)).alias("_n"))
-    full = rows.withColumn("keys", F.collect_list(key).over(own.rowsBetween(0, length))).where(F.col("pos") < F.col("_n") - length - (1 if compat else 0))
-    return full.select(by, "pos", "keys")
+    """``by, pos, keys``: sliding windows of ``length + 1`` keys; the last one is dropped (``compat``), as training always did.
+
+    Windows are read off stretches of the order of all rows, each with the few rows after it.
+    """
+    rows = placed(series.select(by, order, key), by, order)
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    k = F.floor(F.col("_rn") / STRETCH)
+    own = F.struct(k.alias("k"), F.lit(True).alias("own"))
+    both = F.array(own, F.struct((k - 1).alias("k"), F.lit(False).alias("own")))
+    spread = rows.withColumn("_s", F.explode(F.when((F.col("_rn") % STRETCH < length) & (k > 0), both).otherwise(F.array(own))))
+    ahead = F.collect_list(key).over(W.partitionBy("_s.k").orderBy("_rn").rowsBetween(0, length))
+    full = spread.withColumn("keys", ahead).where("_s.own").join(counts, F.col(by) == F.col("_by"))
+    return full.where(F.col("pos") < F.col("_n") - length - (1 if compat else 0)).select(by, F.col("pos").cast("int").alias("pos"), "keys")
 
 
 def train_flag(pos: Column, count: Column, rate: float) -> Column:
@@ -54,6 +75,12 @@ def train_flag(pos: Column, count: Column, rate: float) -> Column:
     return pos < F.bround(count * rate)
 
 
+def shuffled(rows: DataFrame, seed: int = 42, n: int | None = None) -> DataFrame:
+    """The rows in random order, or ``n`` of them taken at random; the same for the same seed and partitioning."""
+    mixed = rows.orderBy(F.rand(seed))
+    return mixed if n is None else mixed.limit(n)
+
+
 def normalised(keys: Column) -> Column:
     """Each key relative to the first, less 1; null where the first is 0."""
     return F.transform(keys, lambda x: F.try_divide(x.cast("double"), keys[0].cast("double")) - 1)

@@ -158,7 +158,25 @@ def template_forms(spark, sf_dir):
     return _known(spark, sf_dir).select("event_id", tokens.collapse_stars(F.col("template")).alias("collapsed"), F.size(F.filter(words, tokens.is_float)).alias("numbers"), contained.alias("for_then_any"))
 
 
-@query()
+#: Tables of longest common subsequences row by row, and the walk back through them, as recursion.
+_LCS = r"""pairs as (select log_id, l as b, lag(l) over (order by log_id) as a from lists),
+    grown(log_id, a, b, i, last, t) as (
+        select log_id, a, b, 0, list_transform(range(len(b) + 1), lambda x: 0), [list_transform(range(len(b) + 1), lambda x: 0)] from pairs where a is not null
+        union all
+        select log_id, a, b, i + 1, n, list_append(t, n) from (select *, list_reduce(list_prepend([0], list_transform(range(1, len(b) + 1), lambda j: [cast(j as integer)])),
+            lambda acc, j: list_append(acc, case when b[j[1]] = a[i + 1] then last[j[1]] + 1 else greatest(acc[len(acc)], last[j[1] + 1]) end)) as n from grown where i < len(a))),
+    back(log_id, a, b, t, i, j, said) as (
+        select log_id, a, b, t, len(a), len(b), cast([] as varchar[]) from grown where i = len(a)
+        union all
+        select log_id, a, b, t, case when a[i] = b[j] or t[i + 1][j] <= t[i][j + 1] then i - 1 else i end, case when a[i] = b[j] or t[i + 1][j] > t[i][j + 1] then j - 1 else j end,
+            case when a[i] = b[j] then list_prepend(a[i], said) when t[i + 1][j] > t[i][j + 1] then said else list_prepend(chr(1), said) end from back where i > 0 and j > 0),
+    walked as (select log_id, t[len(t)][len(t[1])] as length, said from back where i = 0 or j = 0)
+    select log_id, cast(length as integer) as length, array_to_string(list_filter(said, lambda x: x <> chr(1) and x <> '*'), ' ') as common,
+        array_to_string(list_reduce(list_prepend(cast([] as varchar[]), list_transform(said, lambda x: [x])), lambda acc, x:
+            case when x[1] <> chr(1) then list_append(acc, x[1]) when len(acc) > 0 and acc[len(acc)] <> '*' then list_append(acc, '*') else acc end), ' ') as template from walked"""
+
+
+@query(f"with recursive {_LISTS}, {_LCS}")
 def lcs_of_neighbours(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
     return _neighbours(spark, sf_dir).select("log_id", similarity.lcs_length(a, b).alias("length"), F.array_join(similarity.lcs_tokens(a, b), " ").alias("common"), F.array_join(similarity.lcs_template(a, b), " ").alias("template"))
@@ -323,12 +341,18 @@ def _mined(name: str, mine, source: str = "events") -> None:
     QUERIES[name] = run
 
 
-_mined("bsg", miners.mine_bsg)
-_mined("bsgi", miners.mine_bsgi)
-_mined("drain", miners.mine_drain)
-_mined("draga", miners.mine_draga)
-_mined("spell", miners.mine_spell)
-_mined("first_fit", miners.mine_first_fit)
+for _name in ("bsg", "bsgi", "drain", "draga", "spell", "first_fit"):
+    _mined(_name, getattr(miners, f"mine_{_name}"))
+# Rendered events differ within a bucket in no more than each of these miners tolerates, so their templates are the buckets' folds,
+# in the order of their first messages; spell and first fit join all events into what they have in common.
+_FOLD_EVENTS = f"""with {_FOLDED}, firsts as (select pos, key, min(log_id) as lo from keyed group by all),
+    numbered as (select row_number() over (order by lo) as event, pos, key, template, n from folded join firsts using (pos, key))"""
+for _name in ("bsg", "bsgi", "drain", "draga"):
+    ORACLE[_name] = _FOLD_EVENTS + " select event, template, n from numbered"
+_COMMON = """spots as (select generate_subscripts({0}, 1) as i, unnest({0}) as token from {1}), same as (select i, min(token) as token, count(*) as n from spots group by i having min(token) = max(token))
+    select cast(1 as bigint) as event, string_agg(token, ' ' order by i) as template, max(n) as n from same"""
+ORACLE["spell"] = f"with {_LISTS}, " + _COMMON.format("l", "lists")
+ORACLE["first_fit"] = f"with texts as (select list_filter(regexp_split_to_array(regexp_replace({_MESSAGE}, '[0-9]+', '', 'g'), '\\s+'), lambda x: x <> '') as w from events), " + _COMMON.format("w", "texts")
 _mined("bsg_messages", miners.mine_bsg, "iaas_filtered")
 _mined("bsgi_messages", miners.mine_bsgi, "iaas_filtered")
 _mined("drain_messages", miners.mine_drain, "iaas_filtered")
@@ -407,7 +431,7 @@ def first_fit_sweep(spark, sf_dir):
     return miners.first_fit_sweep(rendered(spark, sf_dir))
 
 
-@query()
+@query(_FOLD_EVENTS + " select keyed.log_id, event, template from keyed join numbered using (pos, key)")
 def classify(spark, sf_dir):
     rows = rendered(spark, sf_dir)
     return miners.classify(rows, rows)
@@ -643,7 +667,7 @@ def workflow_edges(spark, sf_dir):
 def _deploys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each deploy in order of arrival."""
     rows = table(spark, sf_dir, "event_type_ansible").where("deploy_id is not null and event_id is not null")
-    return rows.select(F.col("deploy_id").alias("seq"), (F.row_number().over(W.partitionBy("deploy_id").orderBy("log_id")) - 1).alias("pos"), F.col("event_id").alias("item"))
+    return sequences.placed(rows.select("deploy_id", "log_id", "event_id"), "deploy_id", "log_id").select(F.col("deploy_id").alias("seq"), "pos", F.col("event_id").alias("item"))
 
 
 @query("""with s as (select deploy_id as seq, row_number() over (partition by deploy_id order by log_id) - 1 as pos, event_id as item

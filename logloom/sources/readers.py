@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUSINESS = "time string, deploy_id long, service string, component string, event_id long, level string, ip string, log_txt string"
@@ -13,31 +14,51 @@ SERIES = "event_id long, instance_name string, time double"
 PARSED = "event long, log_id long, time_stamp double"
 
 
-def list_files(folder: str) -> list[str]:
-    """All files below a folder in order of path, without ``.DS_Store``."""
-    return sorted(os.path.join(d, f) for d, _, files in os.walk(folder) for f in files if f != ".DS_Store")
+def list_files(folder: str, spark: SparkSession | None = None) -> list[str]:
+    """All files below a folder in order of path, but for hidden ones: names that start with ``.`` or ``_``, which Spark reads nowhere.
+
+    With a session the folder may be on any file system that it reads.
+    """
+    if spark is None:
+        return sorted(os.path.join(d, f) for d, _, files in os.walk(folder) for f in files if f[:1] not in "._")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, out = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName()[:1] not in "._":
+            out.append(path.toString())
+    return sorted(out)
 
 
 def read_lines(spark: SparkSession, folder: str, drop_blank: bool = False) -> DataFrame:
-    """``file, line_no, line`` of all files below a folder; gzip files by their suffix.
+    """``file, line_no, line`` of all files below a folder, lines counted from 0; gzip files by their suffix.
 
-    A file is read as one value, so that its lines keep their order whatever the splits; use
-    ``read_line_splits`` where single files are too large for that and order doesn't matter.
+    Large files are read by as many tasks as they have blocks. Lines are numbered inside their block, from the
+    number of lines in the blocks before, which are counted first; so no task holds or orders a whole file.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!.]*").text(folder, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "") if drop_blank else rows
+    paths = list_files(folder, spark)
+    if not paths:
+        return spark.createDataFrame([], "file string, line_no int, line string")
+    files = spark.read.text(paths)
+    rows = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"))
+    counts = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"))
+    before = counts.select("file", "_block", F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = rows.withColumn("_k", F.row_number().over(W.partitionBy("file", "_block").orderBy("_i")) - 1)
+    out = local.join(before, ["file", "_block"]).select("file", (F.col("_before") + F.col("_k")).cast("int").alias("line_no"), "line")
+    return out.where(F.trim("line") != "") if drop_blank else out
 
 
 def read_line_splits(spark: SparkSession, folder: str) -> DataFrame:
     """``file, line`` of all files below a folder, split by size, without the lines' order."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!.]*").text(folder)
-    return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return spark.read.text(list_files(folder, spark)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, rows: int | None = None) -> DataFrame:
-    """A CSV file with header by a declared schema; at most ``rows`` rows if given. Quoted fields may span lines."""
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, schema: str, rows: int | None = None, multi_line: bool = True) -> DataFrame:
+    """A CSV file with header by a declared schema; at most ``rows`` rows if given.
+
+    With ``multi_line`` quoted fields may span lines, and a file is read by one task; without, files are split.
+    """
+    df = spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, escape='"')
     return df if rows is None else df.limit(rows)
 
 

@@ -160,3 +160,29 @@ class _PlainBucket(miners.EntropyBucket):
             c["entropy"][i] = e
         self.codes.put(best[0], new, miners._limit(c))
         return best[0]
+
+
+def _scored(texts, threshold):
+    """Quality of one threshold, every pair of templates compared."""
+    by_length = {}
+    for t in texts:
+        by_length.setdefault(len(t), miners.FirstFit(threshold)).step(t)
+    groups, by_text = {}, {}
+    for t in sorted((t for s in by_length.values() for _, _, t in s.end()), key=lambda t: (len(t), t)):
+        if miners.constants_text(t):
+            by_text.setdefault(miners.constants_text(t).lower(), []).append(t)
+    for ts in by_text.values():
+        groups.setdefault(miners.term_pairs(ts[0]), ts)
+    kept = [1 - t.count("*") / len(t) for ts in groups.values() for t in ts]
+    sets = [set(g) for g in groups]
+    least = [min([1.0, *[1 - len(a & b) / len(a | b) for j, b in enumerate(sets) if i != j]]) for i, a in enumerate(sets)]
+    c, d = sum(kept) / len(kept), sum(least) / len(least)
+    return round(c, 9), round(d, 9), round(c * d**2, 9)
+
+
+def test_sweep_against_all_pairs(spark, logs):
+    more = ["Delete Block now", "delete block now", "go a b c", "go a x c", "go y x c", "one", "One", "two words", "words two", "go go a"]
+    both = logs.select("log_id", "words").unionByName(_logs(spark, more).select((F.col("log_id") + 100).alias("log_id"), "words"))
+    texts = [list(r.words) for r in both.orderBy("log_id").collect()]
+    got = {r.threshold: (round(r.compactness, 9), round(r.distance, 9), round(r.quality, 9)) for r in miners.first_fit_sweep(both).collect()}
+    assert got == {t / 10: _scored(texts, t / 10) for t in range(1, 10)}
