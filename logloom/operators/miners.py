@@ -674,22 +674,26 @@ def _gini(logs: DataFrame, order: str, tokens: str, full: float, few: int, most:
     assigned, clusters = _parted(mined(_keyed(logs, order, tokens, ANY), ["pos"], lambda pos: Gini(full, few, compat), key="key"))
     total = clusters.agg(F.sum("n")).first()[0] or 0
 
-    def refined(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, ordinal = [], 0
-        for r in pdf.sort_values("c").itertuples(index=False):
-            n, first, seen = json.loads(r.text)
-            template = list(r.template)
-            at = split_position(n, template, seen, total, most, compat)
-            for word, count in seen[at] if at >= 0 else [(None, n)]:
-                split = template if word is None else [*template[:at], word, *template[at + 1 :]]
-                extra = list(r.extra) if word is None else [len(split) + 1.0, 0.0]
-                out.append((r.a, r.b, r.c, at, first[at] if at >= 0 else None, word, ordinal, r.ord, count, collapsed(split), split, extra))
-                ordinal += 1
-        return pd.DataFrame(out, columns=["a", "b", "k", "at", "first", "word", "c", "ord", "n", "text", "template", "extra"])
+    def refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_key, ordinal = None, 0
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if (r.a, r.b) != at_key:
+                    at_key, ordinal = (r.a, r.b), 0
+                n, first, seen = json.loads(r.text)
+                template = list(r.template)
+                at = split_position(n, template, seen, total, most, compat)
+                for word, count in seen[at] if at >= 0 else [(None, n)]:
+                    split = template if word is None else [*template[:at], word, *template[at + 1 :]]
+                    extra = list(r.extra) if word is None else [len(split) + 1.0, 0.0]
+                    out.append((r.a, r.b, r.c, at, first[at] if at >= 0 else None, word, ordinal, r.ord, count, collapsed(split), split, extra))
+                    ordinal += 1
+            yield pd.DataFrame(out, columns=["a", "b", "k", "at", "first", "word", "c", "ord", "n", "text", "template", "extra"])
 
     schema = "a string, b string, k long, at int, first string, word string, c long, ord long, n long, text string, template array<string>, extra array<double>"
-    # clusters, not messages: few rows a key
-    final = staged(clusters.groupBy("a", "b").applyInPandas(refined, schema), "refined")
+    # clusters, not messages, a key's in the order of their making
+    final = staged(clusters.repartition("a", "b").sortWithinPartitions("a", "b", "c").mapInPandas(refined, schema), "refined")
     places = final.select("a", "b", "k", "at", "first").distinct()
     said = F.from_json("vars", "map<string,string>")[F.col("at").cast("string")]
     worded = assigned.withColumnRenamed("c", "k").join(places, ["a", "b", "k"]).withColumn("word", F.when(F.col("at") >= 0, F.coalesce(said, "first")))
