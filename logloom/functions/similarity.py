@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,14 +59,28 @@ def merged_template(template: Column, tokens: Column) -> Column:
     return F.zip_with(template, tokens, lambda a, b: F.when(a == b, a).otherwise(ANY))
 
 
-def lcs_table(a: list[str], b: list[str]) -> list[list[int]]:
-    """Lengths of the longest common subsequences of all prefixes."""
-    c = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a, 1):
-        above, row = c[i - 1], c[i]
-        for j, y in enumerate(b, 1):
-            row[j] = above[j - 1] + 1 if x == y else max(row[j - 1], above[j])
-    return c
+def places(tokens: list[str]) -> dict[str, int]:
+    """The places of every token, as the bits of a number."""
+    at: dict[str, int] = {}
+    for i, t in enumerate(tokens):
+        at[t] = at.get(t, 0) | 1 << i
+    return at
+
+
+def _rows(a: list[str], at: dict[str, int], n: int) -> Iterator[int]:
+    """Lengths of the longest common subsequences of all prefixes, by rows: a number's bits, 0 where the length grows from one place to the next."""
+    row = full = (1 << n) - 1
+    yield row
+    for t in a:
+        if hit := row & at.get(t, 0):
+            row = (row + hit | row - hit) & full
+        yield row
+
+
+def lcs_size(a: list[str], at: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of ``a`` and ``n`` tokens with ``places`` ``at``."""
+    *_, last = _rows(a, at, n)
+    return n - last.bit_count()
 
 
 def lcs_walk(a: list[str], b: list[str], mark: bool) -> tuple[int, list[str]]:
@@ -72,13 +88,14 @@ def lcs_walk(a: list[str], b: list[str], mark: bool) -> tuple[int, list[str]]:
 
     On a tie the walk back goes up (leaves out a token of ``a``). Leading omissions get no mark.
     """
-    c = lcs_table(a, b)
+    rows = list(_rows(a, places(b), len(b)))
+    length = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
     i, j, back = len(a), len(b), []
     while i and j:
         if a[i - 1] == b[j - 1]:
             back.append(a[i - 1])
             i, j = i - 1, j - 1
-        elif c[i][j - 1] > c[i - 1][j]:
+        elif length(i, j - 1) > length(i - 1, j):
             j -= 1
         else:
             back.append(None)
@@ -90,7 +107,7 @@ def lcs_walk(a: list[str], b: list[str], mark: bool) -> tuple[int, list[str]]:
                 out.append(t)
         elif mark and out and out[-1] != ANY:
             out.append(ANY)
-    return c[-1][-1], out
+    return len(b) - rows[-1].bit_count(), out
 
 
 def _udf(mark: bool | None):

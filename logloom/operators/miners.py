@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.functions.similarity import ANY, lcs_walk
+from logloom.functions.similarity import ANY, lcs_size, lcs_walk, places
 from logloom.functions.tokens import SPECIAL, key_layer
 from logloom.operators.ordering import positions
 from logloom.session import staged
@@ -443,6 +443,78 @@ class Terms:
         return Counter(k for t in tokens for k in self.holders.get(t, ()))
 
 
+class Shares:
+    """How many different tokens of a message each text has, for all texts at once.
+
+    A text is a bit. A token is the number whose bits are the texts that hold it, and the message's tokens are added
+    up in binary, all bits side by side, so a message takes some operations on long numbers instead of a look at
+    every text. Texts are cut into blocks, so that a rare token is one short number.
+    """
+
+    BLOCK = 8192
+
+    def __init__(self) -> None:
+        self.sets: dict[int, frozenset[str]] = {}
+        self.holders: list[dict[str, int]] = []
+        self.sizes: list[dict[int, int]] = []
+
+    def put(self, k: int, tokens: list[str]) -> None:
+        """Set the tokens of text ``k``."""
+        new, old = frozenset(tokens), self.sets.get(k, frozenset())
+        if new == old:
+            return
+        block, bit = k // self.BLOCK, 1 << k % self.BLOCK
+        while len(self.holders) <= block:
+            self.holders.append({})
+            self.sizes.append({})
+        for cells, gone, come in ((self.holders[block], old - new, new - old), (self.sizes[block], [len(old)] if old else [], [len(new)])):
+            for x in gone:
+                cells[x] ^= bit
+                if not cells[x]:
+                    del cells[x]
+            for x in come:
+                cells[x] = cells.get(x, 0) | bit
+        self.sets[k] = new
+
+    def counted(self, tokens: frozenset[str]) -> list[list[int]]:
+        """By block the binary digits of the number of tokens in common, the lowest first."""
+        out = []
+        for holders in self.holders:
+            digits: list[int] = []
+            for carry in filter(None, map(holders.get, tokens)):
+                for i, d in enumerate(digits):
+                    digits[i], carry = d ^ carry, d & carry
+                    if not carry:
+                        break
+                if carry:
+                    digits.append(carry)
+            out.append(digits)
+        return out
+
+    def sharing(self, shared: list[list[int]], least: Callable[[int], int | None]) -> list[int]:
+        """Texts that share ``least(size)`` tokens or more, in order; none of a size for which that is None."""
+        out = []
+        for block, (digits, sizes) in enumerate(zip(shared, self.sizes, strict=True)):
+            found = 0
+            for size, equal in sizes.items():
+                if (n := least(size)) is None or n >> len(digits):
+                    continue
+                for i in range(len(digits) - 1, -1, -1):
+                    if n >> i & 1:
+                        equal &= digits[i]
+                    else:
+                        found |= equal & digits[i]
+                        equal &= ~digits[i]
+                    if not equal:
+                        break
+                found |= equal
+            while found:
+                low = found & -found
+                out.append(block * self.BLOCK + low.bit_length() - 1)
+                found ^= low
+        return out
+
+
 # ---- longest common subsequence over all messages ----------------------------------------------
 
 
@@ -452,33 +524,35 @@ class Signatures:
     def __init__(self, threshold: float, compat: bool = True) -> None:
         self.threshold, self.compat = threshold, compat
         self.tree, self.signatures, self.known = {"n": 0, "id": -1, "next": {}}, {}, Known()
-        self.terms = Terms()
+        self.terms = Shares()
 
     def step(self, tokens: list[str]) -> int:
         if (k := self.known.get(tokens)) is not None:
             return k
         if (k := self._walk(tokens)) == -1:
-            shared = self.terms.shared(set(tokens))
-            if (k := self._contained(tokens, shared)) == -1:
-                return self.known.clear(self._joined(tokens, shared))
+            own = frozenset(tokens)
+            shared = self.terms.counted(own)
+            if (k := self._contained(tokens, len(own), shared)) == -1:
+                return self.known.clear(self._joined(tokens, len(own), shared))
         return self.known.put(tokens, k)
 
-    def _joined(self, tokens: list[str], shared: Counter) -> int:
-        best, result, size, length = -1, [], -1, 0
-        own = len(set(tokens))
-        for k in sorted(shared):
-            if shared[k] / (own + len(self.terms.sets[k]) - shared[k]) > 0.5:
-                s = self.signatures[k]
-                n, template = lcs_walk(s, tokens, mark=True)
-                if n > size:
-                    best, result, size, length = k, template, n, len(s)
-                elif n == size and len(s) < length:
-                    best, result = k, template
-                    if self.compat:  # quirk: the length now counts ``*`` too, and the signature compared with stays
-                        size = len(template)
-                    else:
-                        length = len(s)
+    def _joined(self, tokens: list[str], own: int, shared: list[list[int]]) -> int:
+        best, size, length = -1, -1, 0
+        at = places(tokens)
+        # more than half of the different tokens of both
+        for k in self.terms.sharing(shared, lambda n: (own + n) // 3 + 1 if own < 2 * n < 4 * own else None):
+            s = self.signatures[k]
+            n = lcs_size(s, at, len(tokens))
+            if n > size:
+                best, size, length = k, n, len(s)
+            elif n == size and len(s) < length:
+                best = k
+                if self.compat:  # quirk: the length now counts ``*`` too, and the signature compared with stays
+                    size = len(lcs_walk(s, tokens, mark=True)[1])
+                else:
+                    length = len(s)
         if size / len(tokens) >= self.threshold:
+            result = lcs_walk(self.signatures[best], tokens, mark=True)[1]
             self._remove(self.signatures[best])
             self.signatures[best] = result
         else:
@@ -497,8 +571,8 @@ class Signatures:
             node = below or node  # quirk: a token without branch is passed over
         return node["id"]
 
-    def _contained(self, tokens: list[str], shared: Counter) -> int:
-        for k in sorted(k for k, n in shared.items() if n == len(self.terms.sets[k])):
+    def _contained(self, tokens: list[str], own: int, shared: list[list[int]]) -> int:
+        for k in self.terms.sharing(shared, lambda n: n if n <= own else None):
             s = self.signatures[k]
             if len(s) / len(tokens) >= 0.5:
                 rest = iter(tokens)

@@ -1,5 +1,8 @@
 """Miners against the hand-traced corpus."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +189,85 @@ def test_sweep_against_all_pairs(spark, logs):
     texts = [list(r.words) for r in both.orderBy("log_id").collect()]
     got = {r.threshold: (round(r.compactness, 9), round(r.distance, 9), round(r.quality, 9)) for r in miners.first_fit_sweep(both).collect()}
     assert got == {t / 10: _scored(texts, t / 10) for t in range(1, 10)}
+
+
+def _lcs(a, b):
+    """Length and walk by the whole table, as defined."""
+    c = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            c[i][j] = c[i - 1][j - 1] + 1 if x == y else max(c[i][j - 1], c[i - 1][j])
+    i, j, back = len(a), len(b), []
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            back.append(a[i - 1])
+            i, j = i - 1, j - 1
+        elif c[i][j - 1] > c[i - 1][j]:
+            j -= 1
+        else:
+            back.append(None)
+            i -= 1
+    out = []
+    for t in reversed(back):
+        if t is not None or (out and out[-1] != "*"):
+            out.append(t or "*")
+    return c[-1][-1], out
+
+
+class _AllSignatures(miners.Signatures):
+    """Looks at every signature for every message."""
+
+    def step(self, tokens):
+        if (k := self._walk(tokens)) == -1 and (k := self._held(tokens)) == -1:
+            return self._best(tokens)
+        return k
+
+    def _held(self, tokens):
+        for k, s in sorted(self.signatures.items()):
+            rest = iter(tokens)
+            if s and set(s) <= set(tokens) and len(s) / len(tokens) >= 0.5 and all(t in rest for t in s):
+                return k
+        return -1
+
+    def _best(self, tokens):
+        best, result, size, length = -1, [], -1, 0
+        for k, s in sorted(self.signatures.items()):
+            if len(set(s) & set(tokens)) / max(1, len(set(s) | set(tokens))) > 0.5:
+                n, template = _lcs(s, tokens)
+                if n > size:
+                    best, result, size, length = k, template, n, len(s)
+                elif n == size and len(s) < length:
+                    best, result = k, template
+                    if self.compat:
+                        size = len(template)
+                    else:
+                        length = len(s)
+        if size / len(tokens) >= self.threshold:
+            self._remove(self.signatures[best])
+        else:
+            best, result = len(self.signatures) + 1, tokens
+        self.signatures[best] = result
+        self._add(result, best)
+        return best
+
+
+@pytest.mark.parametrize("compat", [True, False])
+def test_spell_looks_at_all_signatures(compat, monkeypatch):
+    monkeypatch.setattr(miners.Shares, "BLOCK", 16)
+    rng = random.Random(5)
+    for vocabulary in (6, 14, 60):
+        quick, slow = miners.Signatures(0.5, compat), _AllSignatures(0.5, compat)
+        for _ in range(900):
+            message = [rng.choice([f"w{min(rng.randrange(vocabulary), rng.randrange(vocabulary))}", "a", "*"]) for _ in range(rng.randrange(1, 12))]
+            assert quick.step(message) == slow.step(message)
+        assert quick.signatures == slow.signatures and len(quick.signatures) > 3
+
+
+def test_spell_time_of_many_signatures():
+    """Each message has words of all signatures, without being like any."""
+    state = miners.Signatures(0.5)
+    began = time.process_time()
+    for i in range(5000):
+        state.step([*(f"common{j}" for j in range(6)), *(f"own{i}_{j}" for j in range(8))])
+    assert len(state.signatures) == 5000
+    assert time.process_time() - began < 5
