@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logloom.functions import formal, similarity, tokens
 from logloom.operators import assembly, graph, miners, nextkey, quality, sequences
 from logloom.operators.ordering import positions
-from logloom.session import table
+from logloom.session import staged, table
 
 QUERIES = {}
 ORACLE = {}
@@ -684,7 +684,7 @@ def _deploys(spark: SparkSession, sf_dir: str) -> DataFrame:
     total as (select a.target, a.item, sum(ln(1 + 1 / m + 0.001 / d)) as log_score from after a join many on a.target = many.target group by all)
     select target, item, round(log_score, 6) as log_score from total qualify row_number() over (partition by target order by round(log_score, 9) desc, item) <= 3""")
 def cpt_predict(spark, sf_dir):
-    rows = _deploys(spark, sf_dir)
+    rows = staged(_deploys(spark, sf_dir), "deploys")
     return sequences.predict_next(rows, rows, k=5, n=3).withColumn("log_score", F.round("log_score", 6))
 
 
