@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions.instants import LEVELS
+from logloom.operators.miners import Shares
 
 _SPELLED = {w: name for name, words in LEVELS.items() for w in words}
 _LEVEL = "(?:" + "|".join(sorted((w for w in _SPELLED if len(w) > 2), key=len, reverse=True)) + ")"
@@ -148,7 +150,8 @@ def _sequences(text: str, lines: bool, layouts: Layouts) -> Iterator[tuple[tuple
 
 #: Least share of the longer of two headers that they must have in common, in order, to be of one layout.
 LIKENESS = 0.6
-#: Layouts of one kind that are followed at once in a task; beyond it those of least support make room (lossy counting).
+#: Layouts of one kind whose patterns a line is tried on, the best supported; a header that none reads is clustered by likeness
+#: with all. Layouts of one kind that are listed although they aren't kept.
 MOST_LAYOUTS = 64
 #: Fields of 100,000 that must have a layout's header, and the least number of them whatever there are.
 SUPPORT = 1
@@ -156,47 +159,81 @@ LEAST_SUPPORT = 2
 
 
 class Layouts:
-    """Header templates by kind, each the common subsequence of all headers of its cluster so far."""
+    """Header templates by kind, each the common subsequence of all headers of its cluster so far. None is ever dropped."""
 
     def __init__(self) -> None:
-        #: Per kind its clusters ``[template, support, example, pattern]``; a pattern only where the template starts with no free text.
+        #: Per kind its clusters ``[template, support, example]``.
         self.found: dict[tuple[str, ...], list[list]] = {}
+        #: Per kind the constants of its clusters, to look only at those that are like enough.
+        self.shares: dict[tuple[str, ...], Shares] = {}
+        #: Per kind its best supported clusters with their patterns.
+        self.tried: dict[tuple[str, ...], list[list]] = {}
 
     def fits(self, text: str, start: bool) -> bool:
-        """Count a header that a template found so far reads already."""
-        for kind, cells in self.found.items():
+        """Count a header that one of the best supported templates found so far reads already."""
+        for kind, tried in self.tried.items():
             if (kind[0] == "start") == start:
-                for cell in cells:
-                    if cell[3] is not None and cell[3].match(text):
+                for slot in tried:
+                    cell, template, read = slot
+                    if template is not cell[0]:  # it has changed
+                        template, read = slot[1:] = cell[0], _read(cell[0])
+                    if read is not None and read.match(text):
                         cell[1] += 1
                         return True
         return False
 
     def add(self, kind: tuple[str, ...], seq: list[str], example: str, n: int = 1) -> None:
         """Count a header in the cluster it is most like, or in one of its own."""
-        cells = self.found.setdefault(kind, [])
+        cells, shares = self.found.setdefault(kind, []), self.shares.setdefault(kind, Shares())
         best, like = None, LIKENESS
-        for cell in cells:
+        constants = _constants(seq)
+        # a template in common can't be longer than the constants in common, in any order
+        least = lambda size: min(size, _needed(max(size, len(constants))))
+        for k in shares.sharing(shares.counted(constants), least):
+            cell = cells[k]
             shorter = common(cell[0], seq)
-            kept = sum(t != ANY for t in shorter) / max(1, sum(t != ANY for t in cell[0]), sum(t != ANY for t in seq))
+            kept = sum(t != ANY for t in shorter) / max(1, sum(t != ANY for t in cell[0]), len(constants))
             # what a template has lost to free text already can't count against a header
             kept = max(kept, 1.0 if shorter == cell[0] else 0.0)
             if kept > like or (kept == like and best is None):
-                best, like = (cell, shorter), kept
+                best, like = (k, shorter), kept
         if best is None:
-            if len(cells) >= MOST_LAYOUTS:
-                cells.sort(key=lambda c: -c[1])
-                del cells[MOST_LAYOUTS // 2 :]
-            cells.append([seq, n, example, _read(seq)])
+            shares.put(len(cells), constants)
+            cells.append([seq, n, example])
+            tried = self.tried.setdefault(kind, [])
+            if len(cells) <= MOST_LAYOUTS:
+                tried.append([cells[-1], None, None])
+            elif len(cells) % MOST_LAYOUTS == 0:
+                known = {id(slot[0]): slot for slot in tried}
+                self.tried[kind] = [known.get(id(c), [c, None, None]) for c in sorted(cells, key=lambda c: -c[1])[:MOST_LAYOUTS]]
             return
-        cell, shorter = best
+        k, shorter = best
+        cell = cells[k]
         cell[1] += n
         cell[2] = min(cell[2], example, key=lambda x: (len(x), x))  # a short one says as much
         if shorter != cell[0]:
-            cell[0], cell[3] = shorter, _read(shorter)
+            cell[0] = shorter
+            shares.put(k, _constants(shorter))
 
     def rows(self) -> list[tuple[str, str, int, str]]:
-        return [(json.dumps(k), json.dumps(seq), n, example) for k, cells in sorted(self.found.items()) for seq, n, example, _ in cells]
+        return [(json.dumps(k), json.dumps(seq), n, example) for k, cells in sorted(self.found.items()) for seq, n, example in cells]
+
+
+def _constants(template: list[str]) -> frozenset[tuple[str, int]]:
+    """The tokens of a template but for free text, the repeats of a token numbered."""
+    met: Counter[str] = Counter()
+    out = set()
+    for t in template:
+        if t != ANY:
+            out.add((t, met[t]))
+            met[t] += 1
+    return frozenset(out)
+
+
+def _needed(size: int) -> int:
+    """The least number of constants in common that is ``LIKENESS`` of ``size``."""
+    n = int(LIKENESS * size)
+    return n if n / max(1, size) >= LIKENESS else n + 1
 
 
 def _read(template: list[str]) -> re.Pattern | None:
@@ -211,7 +248,8 @@ def layout_support(fields: DataFrame) -> DataFrame:
     subsequence; clusters of one kind are then merged over all partitions the same way. ``n`` counts headers. A
     layout is ``kept`` if at least ``SUPPORT`` fields of 100,000, and ``LEAST_SUPPORT`` at least, have it, and if
     its template starts with a constant or a slot: lines that merely mention a stamp and a dotted name share
-    neither. Tasks and kinds hold at most ``MOST_LAYOUTS`` clusters, so what comes out is bounded whatever the noise.
+    neither. Every header is counted in a cluster and no cluster is dropped, so support doesn't depend on the noise.
+    Of the layouts of a kind that aren't kept, ``MOST_LAYOUTS`` at most are listed, the others as one row of free text.
     """
 
     def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +274,11 @@ def layout_support(fields: DataFrame) -> DataFrame:
     # the row without kind holds the number of fields
     least = F.greatest(F.lit(LEAST_SUPPORT), F.ceil(F.max(F.when(F.col("kind") == "", F.col("n"))).over(W.partitionBy()) * SUPPORT / 100_000))
     anchored = ~F.col("template").startswith(json.dumps([ANY])[:-1])
-    return found.withColumn("kept", (F.col("n") >= least) & anchored).where("kind <> ''")
+    judged = found.withColumn("kept", (F.col("n") >= least) & anchored).where("kind <> ''")
+    place = F.row_number().over(W.partitionBy("kind", "kept").orderBy(F.desc("n"), "template", "example"))
+    template = F.when(F.col("kept") | (place < MOST_LAYOUTS), F.col("template")).otherwise(json.dumps([ANY]))
+    listed = judged.withColumn("_at", F.when(F.col("kept") | (place < MOST_LAYOUTS), place).otherwise(MOST_LAYOUTS)).withColumn("template", template)
+    return listed.groupBy("kind", "kept", "_at").agg(F.min("template").alias("template"), F.sum("n").alias("n"), F.min("example").alias("example")).select("kind", "template", "n", "example", "kept")
 
 
 def mined_layouts(fields: DataFrame) -> list[tuple[list[str], bool]]:

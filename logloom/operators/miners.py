@@ -13,7 +13,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -454,11 +454,11 @@ class Shares:
     BLOCK = 8192
 
     def __init__(self) -> None:
-        self.sets: dict[int, frozenset[str]] = {}
-        self.holders: list[dict[str, int]] = []
+        self.sets: dict[int, frozenset[Hashable]] = {}
+        self.holders: list[dict[Hashable, int]] = []
         self.sizes: list[dict[int, int]] = []
 
-    def put(self, k: int, tokens: list[str]) -> None:
+    def put(self, k: int, tokens: Iterable[Hashable]) -> None:
         """Set the tokens of text ``k``."""
         new, old = frozenset(tokens), self.sets.get(k, frozenset())
         if new == old:
@@ -476,7 +476,7 @@ class Shares:
                 cells[x] = cells.get(x, 0) | bit
         self.sets[k] = new
 
-    def counted(self, tokens: frozenset[str]) -> list[list[int]]:
+    def counted(self, tokens: frozenset[Hashable]) -> list[list[int]]:
         """By block the binary digits of the number of tokens in common, the lowest first."""
         out = []
         for holders in self.holders:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from logloom.operators.loglines import MOST_LAYOUTS, common, entries, layout_support, mined_layouts, pattern, request_id, tokens
+from logloom.operators.loglines import MOST_LAYOUTS, Layouts, common, entries, layout_support, mined_layouts, pattern, request_id, tokens
 
 LINES = [
     "2018-10-08 12:45:11,845 24972 DEBUG ferrite.volume.worker [req-E729521F-6BF3-AF91-06E8-34F5A9334F49] Rendering secret 145\n    at a.b.Call(Call.java:5)\n\nts=2018-10-08T12:45:24.655Z level=crit comp=tidepool.deploy.sync msg=\"Synced unit 9\"",
@@ -94,3 +94,23 @@ def test_header_end_has_any_number_of_marks(spark):
     texts = [f"<<<<2018-10-08 12:45:1{i % 10}> INFO> a.b.c>>>>>> message {i}" for i in range(20)]
     got = entries(_of(spark, texts)).collect()
     assert len(got) == 20 and got[0].component == "a.b.c" and got[0].message.startswith("message")
+
+
+def test_layouts_among_much_noise_keep_their_support():
+    """Two headers of a layout, with more unlike ones between them than a line is tried on."""
+    layouts = Layouts()
+    kind = ("word", "/", "<stamp>", "<module>", "<module>")
+    for i in range(1500):
+        if i % 500 == 100:
+            layouts.add(kind, ["seldom", " ", "but", " ", "steady", "<stamp>", "<module>"], f"example {i}")
+        layouts.add(kind, [*(f"{_word(i)}{k}" for k in range(9)), "<stamp>", "<module>"], "noise")
+    cells = layouts.found[kind]
+    assert len(cells) == 1501 and sum(n for _, n, _ in cells) == 1503
+    assert [n for template, n, _ in cells if template[0] == "seldom"] == [3]
+
+
+def test_what_is_not_listed_is_counted(spark):
+    texts = [" ".join(f"{_word(i)}{_word(k + 7)}{_word(i)}" for k in range(9)) + f": 2018-10-08 12:45:11 {_word(i)}.worker done" for i in range(300)]
+    texts += ["alpha beta gamma 2018-10-08 12:45:11 some.where done"] * 2
+    rows = layout_support(_of(spark, texts[:200] + texts[-1:] + texts[200:-1]).repartition(3)).collect()
+    assert sum(r.n for r in rows) == 302 and len(rows) <= MOST_LAYOUTS + 1
