@@ -46,10 +46,16 @@ def test_predicts_as_defined(spark, monkeypatch, most):
     assert max(Counter(r.target for r in got).values()) == 3
 
 
-def test_pairs_of_similar_sequences_are_not_shuffled(spark):
+def test_pairs_of_similar_sequences_are_not_shuffled(spark, monkeypatch):
     """1,000 sequences alike: a million pairs, of which none need be written."""
     rows = {f"s{j}": [f"i{(j * 7 + i) % 20}" for i in range(40)] for j in range(1000)}
     before = _written(spark)
     frame = _frame(spark, rows)
-    assert sequences.predict_next(frame, frame).count() == 3000
-    assert _written(spark) - before < 5e6
+    monkeypatch.setattr(sequences, "PACK_ROWS", 6_000_000, raising=False)
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sequences.predict_next(frame, frame).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    assert _written(spark) - before < 3e6
