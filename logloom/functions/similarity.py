@@ -79,8 +79,11 @@ def _rows(a: list[str], at: dict[str, int], n: int) -> Iterator[int]:
 
 def lcs_size(a: list[str], at: dict[str, int], n: int) -> int:
     """Length of the longest common subsequence of ``a`` and ``n`` tokens with ``places`` ``at``."""
-    *_, last = _rows(a, at, n)
-    return n - last.bit_count()
+    row = full = (1 << n) - 1
+    for t in a:
+        if hit := row & at.get(t, 0):
+            row = (row + hit | row - hit) & full
+    return n - row.bit_count()
 
 
 def lcs_walk(a: list[str], b: list[str], mark: bool) -> tuple[int, list[str]]:

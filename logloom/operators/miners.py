@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Hashable, Iterable, Iterator
+from functools import lru_cache, partial
 from typing import NamedTuple
 
 import numpy as np
@@ -457,9 +458,10 @@ class Shares:
         self.sets: dict[int, frozenset[Hashable]] = {}
         self.holders: list[dict[Hashable, int]] = []
         self.sizes: list[dict[int, int]] = []
+        self.given: dict[int, int] = {}
 
-    def put(self, k: int, tokens: Iterable[Hashable]) -> None:
-        """Set the tokens of text ``k``."""
+    def put(self, k: int, tokens: Iterable[Hashable], size: int | None = None) -> None:
+        """Set the tokens of text ``k``; ``size`` is its size if not their number."""
         new, old = frozenset(tokens), self.sets.get(k, frozenset())
         if new == old:
             return
@@ -467,7 +469,10 @@ class Shares:
         while len(self.holders) <= block:
             self.holders.append({})
             self.sizes.append({})
-        for cells, gone, come in ((self.holders[block], old - new, new - old), (self.sizes[block], [len(old)] if old else [], [len(new)])):
+        was, now = [self.given.get(k, len(old))] if old else [], [len(new) if size is None else size] if new else []
+        if size is not None:
+            self.given[k] = size
+        for cells, gone, come in ((self.holders[block], old - new, new - old), (self.sizes[block], was, now)):
             for x in gone:
                 cells[x] ^= bit
                 if not cells[x]:
@@ -491,14 +496,16 @@ class Shares:
             out.append(digits)
         return out
 
-    def sharing(self, shared: list[list[int]], least: Callable[[int], int | None]) -> list[int]:
-        """Texts that share ``least(size)`` tokens or more, in order; none of a size for which that is None."""
+    def sharing(self, shared: list[list[int]], least: Callable[[int], int | None], among: range | None = None) -> list[int]:
+        """Texts that share ``least(size)`` tokens or more, in order; none of a size for which that is None or which isn't ``among`` those."""
         out = []
         for block, (digits, sizes) in enumerate(zip(shared, self.sizes, strict=True)):
-            found = 0
-            for size, equal in sizes.items():
-                if (n := least(size)) is None or n >> len(digits):
-                    continue
+            found, most = 0, 1 << len(digits)
+            wanted: dict[int, int] = {}
+            for size in sizes if among is None or len(sizes) < len(among) else among:
+                if (equal := sizes.get(size)) and (n := least(size)) is not None and n < most:
+                    wanted[n] = wanted.get(n, 0) | equal
+            for n, equal in wanted.items():
                 for i in range(len(digits) - 1, -1, -1):
                     if n >> i & 1:
                         equal &= digits[i]
@@ -518,31 +525,160 @@ class Shares:
 # ---- longest common subsequence over all messages ----------------------------------------------
 
 
+#: Keys in a node of the prefix tree, beside tokens.
+COUNT, EVENT = 0, 1
+
+
+class Near(NamedTuple):
+    """A signature that may be like a message, as it was looked at."""
+
+    k: int
+    signature: list[str]
+    common: int  # length of the longest common subsequence, -1 if they share too few tokens
+    held: bool  # in the message, in order
+
+
+@lru_cache(1 << 16)
+def _least(own: int, n: int) -> int | None:
+    """Tokens that a message of ``own`` and a signature of ``n`` different ones share if it is near: more than half of both, or all of the signature's."""
+    return min(n, (own + n) // 3 + 1) if n < 2 * own else None
+
+
+class Form:
+    """Messages alike but for tokens that few signatures hold, and the signatures that are near all of them."""
+
+    __slots__ = ("changed", "near", "verdict")
+
+    def __init__(self, near: list[Near]) -> None:
+        self.near, self.verdict = near, None
+        self.changed: list[int] = []
+
+
 class Signatures:
-    """Signatures of all messages: prefix tree, then subsequence, then longest common subsequence."""
+    """Signatures of all messages: prefix tree, then subsequence, then longest common subsequence.
+
+    What the last two find for a message depends on the tokens that signatures hold. Tokens that no signature or up
+    to ``RARE`` hold are left out of its form: for a form met before, the signatures near it are kept, and each new or
+    changed signature is noted with the forms that it is near to, so the result is that of a look at all signatures.
+    The few that hold a rare token of the message are looked at one by one. Forms are kept from the second time on,
+    up to ``FORMS``.
+    """
+
+    RARE, FEW, FORMS, ONCE = 40, 64, 131_072, 524_288
 
     def __init__(self, threshold: float, compat: bool = True) -> None:
         self.threshold, self.compat = threshold, compat
-        self.tree, self.signatures, self.known = {"n": 0, "id": -1, "next": {}}, {}, Known()
-        self.terms = Shares()
+        # A node is a dictionary of the nodes below by token; at ``COUNT`` the signatures through it, at ``EVENT`` the number of one that ends there.
+        self.tree, self.signatures, self.known = {COUNT: 0, EVENT: -1}, {}, Known()
+        self.terms, self.holders = Shares(), {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.forms: dict[tuple, Form] = {}
+        self.listed: list[Form] = []
+        self.uses, self.once = Shares(), set()
+
+    def __getstate__(self) -> dict:
+        state = self.__dict__.copy()
+        for name in ("forms", "listed", "uses", "once"):
+            del state[name]
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def step(self, tokens: list[str]) -> int:
         if (k := self.known.get(tokens)) is not None:
             return k
         if (k := self._walk(tokens)) == -1:
-            own = frozenset(tokens)
-            shared = self.terms.counted(own)
-            if (k := self._contained(tokens, len(own), shared)) == -1:
-                return self.known.clear(self._joined(tokens, len(own), shared))
+            k, result = self._found(tokens)
+            if result is not None:
+                if k == -1:
+                    k = len(self.signatures) + 1
+                elif result == self.signatures[k]:
+                    if self._added_again(result, k):
+                        self.known.clear(k)
+                    return self.known.put(tokens, k)
+                else:
+                    self._remove(self.signatures[k])
+                self._set(k, result)
+                return self.known.clear(k)
         return self.known.put(tokens, k)
 
-    def _joined(self, tokens: list[str], own: int, shared: list[list[int]]) -> int:
+    def _found(self, tokens: list[str]) -> tuple[int, list[str] | None]:
+        """The signature that takes a message, or -1, and the signature to be; None if it stays and its place in the tree too."""
+        own, few = frozenset(tokens), set()
+        key: list[str | None] = []
+        for t in tokens:
+            if (held := self.holders.get(t)) is None:
+                key.append(None)
+            elif len(held) <= self.RARE:
+                key.append(None)
+                few |= held
+            else:
+                key.append(t)
+        if len(few) > self.FEW:
+            key, few = [t if t in self.holders else None for t in tokens], set()
+        form = self._form(key, len(own))
+        sets, half, more = self.terms.sets, len(own) // 2, []
+        if few and (few := [k for k in few if len(own & sets[k]) > half or sets[k] <= own]):
+            at = places(tokens)
+            more = [x for k in few if (x := self._looked_at(k, tokens, at, own, len(own)))]
+        if not more:
+            if form.verdict is None:
+                form.verdict = self._chosen(form.near, key)
+            k, result = form.verdict
+            return (k, tokens) if k == -1 else (k, result)
+        if form.near:
+            seen = {x.k for x in more}
+            more += [x for x in form.near if x.k not in seen]
+        more.sort()
+        k, result = self._chosen(more, tokens)
+        return (k, tokens) if k == -1 else (k, result)
+
+    def _form(self, tokens: list[str | None], own: int) -> Form:
+        form = self.forms.get(key := (own, *tokens))
+        if form is None:
+            at, base = places(tokens), frozenset(tokens) - {None}
+            like = self.terms.sharing(self.terms.counted(base), partial(_least, own), range(1, 2 * own))
+            form = Form([x for k in like if (x := self._looked_at(k, tokens, at, base, own))])
+            if (h := hash(key)) in self.once:
+                if len(self.listed) >= self.FORMS:
+                    self._forget()
+                self.forms[key] = form
+                self.uses.put(len(self.listed), base, own)
+                self.listed.append(form)
+            else:
+                if len(self.once) >= self.ONCE:
+                    self.once.clear()
+                self.once.add(h)
+            return form
+        if form.changed or any(self.signatures[x.k] is not x.signature for x in form.near):
+            kept = [x for x in form.near if self.signatures[x.k] is x.signature]
+            again = set(form.changed) - {x.k for x in kept}
+            at, base = places(tokens), frozenset(tokens) - {None}
+            form.near = sorted(kept + [x for k in again if (x := self._looked_at(k, tokens, at, base, own))])
+            form.changed, form.verdict = [], None
+        return form
+
+    def _looked_at(self, k: int, tokens: list[str | None], at: dict[str | None, int], base: frozenset[str], own: int) -> Near | None:
+        s, held = self.signatures[k], self.terms.sets[k]
+        shared, inside = len(base & held), False
+        if shared == len(held) and len(s) / len(tokens) >= 0.5:
+            rest = iter(tokens)
+            inside = all(t in rest for t in s)
+        like = 3 * shared > own + len(held)
+        return Near(k, s, lcs_size(s, at, len(tokens)) if like else -1, inside) if like or inside else None
+
+    def _chosen(self, near: list[Near], tokens: list[str | None]) -> tuple[int, list[str] | None]:
+        for x in near:
+            if x.held:
+                return x.k, None
         best, size, length = -1, -1, 0
-        at = places(tokens)
-        # more than half of the different tokens of both
-        for k in self.terms.sharing(shared, lambda n: (own + n) // 3 + 1 if own < 2 * n < 4 * own else None):
-            s = self.signatures[k]
-            n = lcs_size(s, at, len(tokens))
+        for k, s, n, _ in near:
+            if n < 0:
+                continue
             if n > size:
                 best, size, length = k, n, len(s)
             elif n == size and len(s) < length:
@@ -552,54 +688,67 @@ class Signatures:
                 else:
                     length = len(s)
         if size / len(tokens) >= self.threshold:
-            result = lcs_walk(self.signatures[best], tokens, mark=True)[1]
-            self._remove(self.signatures[best])
-            self.signatures[best] = result
-        else:
-            best, result = len(self.signatures) + 1, tokens
-            self.signatures[best] = tokens
-        self._add(result, best)
-        self.terms.put(best, result)
-        return best
+            return best, lcs_walk(self.signatures[best], tokens, mark=True)[1]
+        return -1, None
+
+    def _set(self, k: int, signature: list[str]) -> None:
+        """Signature ``k`` is new or another; its place in the tree is no more."""
+        old, new = self.terms.sets.get(k, frozenset()), frozenset(signature)
+        self.signatures[k] = signature
+        self._add(signature, k)
+        self.terms.put(k, new)
+        for t in old - new:
+            self.holders[t].discard(k)
+            if not self.holders[t]:
+                del self.holders[t]
+        for t in new - old:
+            self.holders.setdefault(t, set()).add(k)
+        if self.listed:
+            n = len(new)
+            for i in self.uses.sharing(self.uses.counted(new), lambda own: _least(own, n)):
+                self.listed[i].changed.append(k)
 
     def _walk(self, tokens: list[str]) -> int:
         node = self.tree
         for t in tokens:
-            below = node["next"].get(t) or node["next"].get(ANY)
-            if below is None and not self.compat:
+            below = node.get(t) or node.get(ANY)
+            if below is not None:
+                node = below
+            elif not self.compat:  # quirk: else a token without branch is passed over
                 return -1
-            node = below or node  # quirk: a token without branch is passed over
-        return node["id"]
-
-    def _contained(self, tokens: list[str], own: int, shared: list[list[int]]) -> int:
-        for k in self.terms.sharing(shared, lambda n: n if n <= own else None):
-            s = self.signatures[k]
-            if len(s) / len(tokens) >= 0.5:
-                rest = iter(tokens)
-                if all(t in rest for t in s):
-                    return k
-        return -1
+        return node[EVENT]
 
     def _remove(self, signature: list[str]) -> None:
         node = self.tree
         for t in signature:
-            if (below := node["next"].get(t)) is None:
+            if (below := node.get(t)) is None:
                 return
-            if below["n"] > 1:
-                below["n"] -= 1
+            if below[COUNT] > 1:
+                below[COUNT] -= 1
             else:
-                del node["next"][t]
+                del node[t]
             node = below
 
     def _add(self, signature: list[str], k: int) -> None:
         node = self.tree
         for t in signature:
-            if t in node["next"]:
-                node["next"][t]["n"] += 1
+            if t in node:
+                node[t][COUNT] += 1
             else:
-                node["next"][t] = {"n": 1, "id": -1, "next": {}}
-            node = node["next"][t]
-        node["id"] = k
+                node[t] = {COUNT: 1, EVENT: -1}
+            node = node[t]
+        node[EVENT] = k
+
+    def _added_again(self, signature: list[str], k: int) -> bool:
+        """What removing a signature and adding it again does: nodes of its own lose what ended there before. Whether that changed the tree."""
+        node, changed = self.tree, False
+        for t in signature:
+            if node[EVENT] != -1 and node[COUNT] == 1:
+                node[EVENT], changed = -1, True
+            node = node[t]
+        changed |= node[EVENT] != k
+        node[EVENT] = k
+        return changed
 
     def end(self) -> list[tuple[int, str, list[str]]]:
         return [(k, " ".join(t), t) for k, t in self.signatures.items()]
@@ -666,7 +815,7 @@ def mined(rows: DataFrame, keys: list[str], make: Callable[..., Machine], key: s
 
         for batch in batches:
             out = []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("log_id", "ord", "tokens", key or keys[-1], *keys)]
+            columns = [_values(batch.column(batch.schema.get_field_index(c))) for c in ("log_id", "ord", "tokens", key or keys[-1], *keys)]
             for log_id, ordinal, tokens, named, *own in zip(*columns, strict=True):
                 if own != group:
                     out += closed()
@@ -684,6 +833,14 @@ def mined(rows: DataFrame, keys: list[str], make: Callable[..., Machine], key: s
     return staged(placed.mapInArrow(run, _OUT), "mined")
 
 
+def _values(column: pa.Array) -> list:
+    """``to_pylist``, many times faster for lists of strings."""
+    if not pa.types.is_list(column.type) or column.null_count:
+        return column.to_pylist()
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    return [flat[i:j] for i, j in zip(ends, ends[1:])]
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 

@@ -1,5 +1,6 @@
 """Miners against the hand-traced corpus."""
 
+import pickle
 import random
 import time
 
@@ -263,6 +264,34 @@ def test_spell_looks_at_all_signatures(compat, monkeypatch):
         assert quick.signatures == slow.signatures and len(quick.signatures) > 3
 
 
+@pytest.mark.parametrize("compat", [True, False])
+def test_spell_keeps_forms_exact(compat, monkeypatch):
+    for name, value in (("RARE", 2), ("FEW", 5), ("FORMS", 40), ("ONCE", 200)):
+        monkeypatch.setattr(miners.Signatures, name, value)
+    rng = random.Random(9)
+    for values in (4, 40, 400):
+        quick, slow = miners.Signatures(0.5, compat), _AllSignatures(0.5, compat)
+        for i in range(1200):
+            kind = min(rng.randrange(12), rng.randrange(12))
+            message = [f"verb{kind % 3}", f"object{kind}", "of", f"v{rng.randrange(values)}", *["in", f"v{rng.randrange(values)}"] * rng.randrange(2), *rng.choice([[], ["tail", "a", f"v{rng.randrange(values)}"], ["*", "b", "of"]])]
+            if i == 600:
+                quick = pickle.loads(pickle.dumps(quick))
+            assert quick.step(message) == slow.step(message)
+        assert quick.signatures == slow.signatures and quick.tree == slow.tree
+
+
+def test_spell_time_of_known_forms(monkeypatch):
+    """Messages alike but for their values, among many signatures: those are looked through once in a while, not once a message."""
+    state = miners.Signatures(0.5)
+    for i in range(2000):
+        state.step([f"module{i % 40}", *(f"word{i}_{j}" for j in range(8)), f"end{i % 50}"])
+    calls, counted = [], miners.Shares.counted
+    monkeypatch.setattr(miners.Shares, "counted", lambda *x: calls.append(1) or counted(*x))
+    for i in range(1000):
+        state.step([f"module{i % 40}", "step", "took", str(-i), "seconds", "in", "end"])
+    assert len(state.signatures) == 2001 and len(calls) < 200
+
+
 def test_spell_time_of_many_signatures():
     """Each message has words of all signatures, without being like any."""
     state = miners.Signatures(0.5)
