@@ -570,7 +570,7 @@ class Signatures:
         self.threshold, self.compat = threshold, compat
         # A node is a dictionary of the nodes below by token; at ``COUNT`` the signatures through it, at ``EVENT`` the number of one that ends there.
         self.tree, self.signatures, self.known = {COUNT: 0, EVENT: -1}, {}, Known()
-        self.terms, self.holders = Shares(), {}
+        self.terms, self.holders, self.doubled = Shares(), {}, set()
         self._forget()
 
     def _forget(self) -> None:
@@ -621,10 +621,12 @@ class Signatures:
         if len(few) > self.FEW:
             key, few = [t if t in self.holders else None for t in tokens], set()
         form = self._form(key, len(own))
-        sets, half, more = self.terms.sets, len(own) // 2, []
-        if few and (few := [k for k in few if len(own & sets[k]) > half or sets[k] <= own]):
-            at = places(tokens)
-            more = [x for k in few if (x := self._looked_at(k, tokens, at, own, len(own)))]
+        sets, half, more = self.terms.sets, (len(own) + 1) // 2, []
+        if few:  # near ones share half of the message's tokens, or hold some twice and are in it
+            like = {k for k, n in zip(few, map(len, map(own.__and__, map(sets.__getitem__, few)))) if n >= half}
+            if like := like.union(k for k in few & self.doubled if sets[k] <= own):
+                at = places(tokens)
+                more = [x for k in like if (x := self._looked_at(k, tokens, at, own, len(own)))]
         if not more:
             if form.verdict is None:
                 form.verdict = self._chosen(form.near, key)
@@ -697,6 +699,7 @@ class Signatures:
         self.signatures[k] = signature
         self._add(signature, k)
         self.terms.put(k, new)
+        (self.doubled.add if len(signature) > len(new) else self.doubled.discard)(k)
         for t in old - new:
             self.holders[t].discard(k)
             if not self.holders[t]:
